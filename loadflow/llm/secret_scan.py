@@ -81,7 +81,9 @@ def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", m
         F.collect_set(F.when(F.col("live"), F.col("value"))).alias("live"), F.collect_set(F.when(F.col("copied"), F.col("value"))).alias("example")
     )
     empty = F.expr("cast(array() as array<string>)")
-    df = rows.join(per_row, "rid", "left").select("row", "base", "loose", F.coalesce("live", empty).alias("live"), F.coalesce("example", empty).alias("example"))
+    some = F.size("base") + F.size("loose") > 0
+    judged = rows.where(some).join(per_row, "rid").select("row", "base", "loose", "live", "example")
+    df = rows.where(~some).select("row", "base", "loose", empty.alias("live"), empty.alias("example")).unionByName(judged)
     spans = F.sort_array(F.concat("base", F.filter("loose", lambda s: F.array_contains("live", s["value"]))))
     return df.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], "base", spans.alias("spans"), "live", "example")
 

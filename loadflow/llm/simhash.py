@@ -183,3 +183,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     named = hot_join(placed, least, ["root"], "weight", max(1, placed.count())).select("fp", "n", "component_id")
     out = hot_join(fps, written(named), ["fp"], "n", max(1, fps.count()))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
+    """docs without near-duplicates: of each component the row with the smallest doc_id stays (null ids come last)."""
+    cols = docs.columns
+    rows = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")), row_id="rid")
+    near = near_duplicates(rows.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text")), shingle, most)
+    near = near.join(rows.select(F.col("rid").alias("doc_id"), F.col("row.doc_id").alias("own")), "doc_id")
+    best = near.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", F.col("doc_id").alias("rid"))).alias("best"))
+    return rows.join(best.select(F.col("best.rid").alias("rid")), "rid", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in cols])
