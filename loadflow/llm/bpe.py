@@ -170,11 +170,6 @@ class WordBpe:
         return [int(i) for i in self.run([text])[0][0].split()]
 
 
-@lru_cache(maxsize=1)
-def loaded(path: str) -> WordBpe:
-    return WordBpe(path)
-
-
 def portions(texts: list[str], size: int = 6_000_000) -> Iterator[list[str]]:
     """texts in order, in lists of about `size` characters at most, or of one longer text."""
     part, n = [], 0
@@ -197,7 +192,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = WordBpe(path)
         for b in batches:
             count, ids_hash, text_hash, ids = [], [], [], []
             texts = [t or "" for t in b.column(1).to_pylist()]
