@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadflow.llm import bpe, mixing, quality_qda, secret_scan, simhash
+from loadflow.llm import bpe, html_layout, line_rules, mixing, quality_qda, secret_scan, sharding, simhash, substring, topk_bitslice
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,26 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op5_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_topk_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_bitslice.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -45,8 +65,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+QUERIES = (
+    op1_mix_sources, op2_secret_scan, op3_hilbert_shards, op4_line_rules, op5_html_layout,
+    op6_topk_bitslice, op7_substring_dedup, op8_bpe, op9_quality_qda, op10_simhash, pipeline,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op8_bpe, op9_quality_qda, op10_simhash, pipeline)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
