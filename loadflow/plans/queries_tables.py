@@ -185,7 +185,7 @@ def j3_inner_join(spark: SparkSession, sf: str) -> DataFrame:
     return tables.natural_join(*_keyed(spark, sf))
 
 
-@query(f"SELECT PartKey, l_orderkey, l_linenumber, p_brand FROM {_L} RIGHT JOIN {_P} USING (PartKey)")
+@query(f"SELECT PartKey AS \"PartKey\", l_orderkey, l_linenumber, p_brand FROM {_L} RIGHT JOIN {_P} USING (PartKey)")
 def j4_right_join(spark: SparkSession, sf: str) -> DataFrame:
     return tables.natural_join(*_keyed(spark, sf), "right")
 
