@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadflow.llm import bpe, html_layout, line_rules, mixing, quality_qda, secret_scan, sharding, simhash, substring, topk_bitslice
+from loadflow.llm import bpe, html_layout, line_rules, mixing, oracles, quality_qda, secret_scan, sharding, simhash, substring, topk_bitslice
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
