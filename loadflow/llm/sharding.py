@@ -65,10 +65,8 @@ def as_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def shard(
-    docs: DataFrame, n_shards: int = 8, law: str = "rows", dimensions: tuple[str, ...] = ("source", "lang", "doc_id"), bits: int = 4, keep: list[str] | None = None
-) -> DataFrame:
-    """docs' columns in keep (doc_id), size, text_crc32, cell, shard and slot (gapless from 0 in each shard).
+def shard(docs: DataFrame, n_shards: int = 8, law: str = "rows", dimensions: tuple[str, ...] = ("source", "lang", "doc_id"), bits: int = 4, keep: list[str] | None = None) -> DataFrame:
+    """Per row of docs the struct `row` of its columns in keep (doc_id), size, text_crc32, cell, shard and slot (gapless from 0 in each shard).
 
     size is the text's UTF-8 bytes (none for null) plus 1. law "rows": row counts differ by one at most; "bytes": runs
     end where the sum of sizes passes a shard's part. The size, on a log scale, is a dimension besides those
@@ -115,16 +113,17 @@ def shard(
         placed = written(placed.withColumn("shard", F.floor(F.col("at") * s / F.lit(max(total, 1))).cast("int")))
         starts = placed.groupBy("shard").agg(F.min("place").alias("start"))  # one row a shard
         placed = placed.join(F.broadcast(starts), "shard").withColumn("slot", F.col("place") - F.col("start"))
-    return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], "size", "text_crc32", "cell", "shard", F.col("slot").cast("long").alias("slot"))
+    return placed.select("row", "size", "text_crc32", "cell", "shard", F.col("slot").cast("long").alias("slot"))
 
 
 def digest(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: rows move when a shard is added)."""
     out = shard(docs, n_shards)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("row.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 8, law: str = "rows") -> None:
-    """docs as Parquet with one folder a shard, sorted along the curve, so that row groups prune as well."""
-    out = shard(docs, n_shards, law, keep=docs.columns)
-    out.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").drop("size", "text_crc32", "cell", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, n_shards: int = 8, law: str = "rows", folder: str = "shard_no") -> None:
+    """docs as Parquet with one folder a shard, sorted along the curve, so that row groups prune as well. folder is no column of docs."""
+    out = shard(docs, n_shards, law, keep=docs.columns).select("row", F.col("shard").alias(folder), "slot")
+    out = out.repartition(n_shards, folder).sortWithinPartitions(folder, "slot").select("row.*", folder)
+    out.write.partitionBy(folder).parquet(path)
