@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadflow.sources.shared import written
+
+__all__ = ["SPACE", "WORD", "count_words", "hot_join", "words_of", "written"]
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,28 +28,6 @@ def count_words(text: Column) -> Column:
     ).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see; the session's own where it names one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
-    return context.getCheckpointDir()
-
-
-def written(df: DataFrame, row_id: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and lost executors cost nothing before it.
-
-    row_id adds a column that tells equal rows apart; it is fixed once the table is written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    if row_id:
-        df = df.withColumn(row_id, F.monotonically_increasing_id())
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, most: int = 1000) -> DataFrame:
     """rows LEFT JOIN table on keys that are unique in table, whatever the skew of rows.
 
