@@ -83,8 +83,22 @@ def forest(f: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def group_links(k: np.ndarray, f: np.ndarray, most: int, small: int = 64) -> list[tuple[int, int]]:
-    """Verified links within runs of equal keys k (sorted). Small runs compare by shifts, large ones by a search."""
+def rekeyed(f: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links among many fingerprints of one key: keyed again by one wildcard in each of five shorter segments."""
+    out, edges = [], [64 * i // 5 for i in range(6)]
+    u = f.view(np.uint64)
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = (u >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+        for bit in range(high - low):
+            k = part & ~np.uint64(1 << bit)
+            order = np.argsort(k, kind="stable")
+            out += group_links(k[order], f[order], most, again=False)
+    return out
+
+
+def group_links(k: np.ndarray, f: np.ndarray, most: int, small: int = 64, large: int = 4096, again: bool = True) -> list[tuple[int, int]]:
+    """Verified links within runs of equal keys k (sorted). Small runs compare by shifts, others by a search; before that,
+    large runs are keyed again, so that the work of a run grows far slower than its pairs."""
     if len(k) < 2:
         return []
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
@@ -108,7 +122,8 @@ def group_links(k: np.ndarray, f: np.ndarray, most: int, small: int = 64) -> lis
         for a, b in found[~many[run[found[:, 0]]]].tolist():
             out.append((int(f[a]), int(f[b])))
     for g in dense:
-        out += forest(f[first[g] : first[g] + size[g]], most)
+        own = f[first[g] : first[g] + size[g]]
+        out += rekeyed(own, most) if again and size[g] > large else forest(own, most)
     return out
 
 

@@ -364,6 +364,16 @@ def test_links_of_dense_groups_and_chains(spark):
     assert pairs < 20_000  # far from all pairs of the dense group
 
 
+def test_large_groups_are_keyed_again():
+    rng = np.random.default_rng(9)
+    f = rng.integers(-(1 << 62), 1 << 62, 5000)
+    near = f[:300] ^ np.array([sum(1 << int(b) for b in rng.choice(60, 4, replace=False)) for _ in range(300)])
+    f = np.unique(np.r_[f, near])
+    found = {tuple(sorted(p)) for p in simhash.group_links(np.zeros(len(f), np.int64), f, 4)}
+    want = {(int(f[i]), int(f[j])) for i in range(len(f)) for j in (i + 1 + np.flatnonzero(simhash.differing(f[i + 1 :], f[i]) <= 4)).tolist()}
+    assert len(want) >= 300 and found == want
+
+
 def test_one_document_of_each_group_stays(docs):
     near = simhash.near_duplicates(docs)
     kept = simhash.one_of_each(docs)
