@@ -12,6 +12,10 @@ STOP_WORDS = (
     "as", "resident", "from", "where", "group", "by", "order", "load", "inline", "mapping", "distinct", "and", "or", "not", "null", "true", "false",
     "if", "then", "else", "end", "case", "when", "in", "like", "is", "on", "using", "asc", "desc", "concatenate", "noconcatenate",
 )
+# What quoted text, a function's name and a column's name look like in an expression.
+QUOTED_TEXT = r"'[^']*'"
+FUNCTION_NAME = r"[A-Za-z_][A-Za-z0-9_$#]*\s*\("
+COLUMN_NAME = r'"[^"]+"|\[[^\]]+\]|[A-Za-z_][A-Za-z0-9_$]*'
 #: Aggregates that make a column's mapping an aggregate; and the longer list of those that the library has.
 AGGREGATES = ("sum", "count", "avg", "min", "max", "only")
 ALL_AGGREGATES = (*AGGREGATES, "median", "stdev", "mode", "concat", "firstsortedvalue", "fractile", "aggr", "fieldvaluecount")
@@ -21,8 +25,8 @@ _KEY = ["script", "tbl", "col"]
 
 def referenced_columns(expr: Column) -> Column:
     """M1: columns that an expression names, each once, in order: text in quotes and names before a parenthesis are none."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(expr, F.lit("")), r"'[^']*'", " "), r"[A-Za-z_][A-Za-z0-9_$#]*\s*\(", " ( ")
-    tokens = F.regexp_extract_all(bare, F.lit(r'"[^"]+"|\[[^\]]+\]|[A-Za-z_][A-Za-z0-9_$]*'), F.lit(0))
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(expr, F.lit("")), QUOTED_TEXT, " "), FUNCTION_NAME, " ( ")
+    tokens = F.regexp_extract_all(bare, F.lit(COLUMN_NAME), F.lit(0))
     names = F.transform(tokens, lambda t: F.trim(F.regexp_replace(t, r'^["\[]|["\]]$', "")))
     return F.array_distinct(F.filter(names, lambda n: (n != "") & ~F.lower(n).isin(*STOP_WORDS) & ~n.rlike(r"^[0-9]+$")))
 
