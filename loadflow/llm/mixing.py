@@ -157,8 +157,8 @@ def draw(spark, sources: list[Source], length: int, shard_slots: int, seed: int)
         moved = counts.withColumn("begin", begin).where("over > 0").select("shard", "begin", (F.col("begin") + F.col("over")).alias("end"), F.explode(gaps).alias("g"))
         low, high = F.greatest("begin", "g.a"), F.least("end", "g.b")
         runs = runs.unionByName(moved.where(low < high).select("shard", F.col("g.s").alias("s"), (F.col("g.f") + low - F.col("g.a")).alias("from"), (high - low).alias("n")))
-    # A row of runs stands for up to a shard's slots, which Spark's size estimates can't know.
-    slots = runs.where("n > 0").repartition("shard", "s").select("shard", "s", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("j"))
+    # A row of runs stands for up to a shard's slots, which Spark's size estimates can't know; the number keeps it from joining partitions.
+    slots = runs.where("n > 0").repartition(parts, "shard", "s").select("shard", "s", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("j"))
     of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("s"))
     n_blocks = of([s.blocks(length) for s in live])
     rest = of([round(s.target) % s.words for s in live])
