@@ -4,7 +4,7 @@ Within a block of rows every attribute (vector component, as an integer) is a st
 A query's score for all rows of a block is a sum of such slices, shifted by the digits of the query's components, and
 is added up by bitmap arithmetic alone. The top rows are then read off the score's slices from the most significant
 one downward; rows that tie at the boundary are resolved by their ids. Blocks of rows meet blocks of queries in a
-grid, each cell gives its k best, and a window over those gives the k best of all.
+grid, each cell gives its k best ids, and a window over those gives the k best of all.
 """
 
 from __future__ import annotations
@@ -61,11 +61,36 @@ class Adder:
         return [own[0] if own else None for own in self.waiting]
 
 
-def best_rows(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query number, row number) of the k rows with the greatest inner product for each query; ties to lower row numbers.
+def chosen(planes: list[np.ndarray], left: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, row number) of the `most` best rows among those in left, a bitmap, by each query's score slices."""
+    sure = np.zeros_like(left)
+    need = np.minimum(most, np.bitwise_count(left).sum(axis=1, dtype=np.int64))
+    for plane in reversed(planes):
+        high = left & plane
+        more = (np.bitwise_count(sure | high).sum(axis=1, dtype=np.int64) > need)[:, None]
+        sure = np.where(more, sure, sure | high)
+        left = np.where(more, high, left & ~plane)
+    at = lambda m: np.unpackbits(m.view(np.uint8), axis=1, bitorder="little")
+    some, tied = at(sure), at(left)
+    tied &= np.cumsum(tied, axis=1, dtype=np.int32) <= (need - some.sum(axis=1, dtype=np.int64))[:, None]
+    return np.nonzero(some | tied)
+
+
+def bitmaps(flags: np.ndarray) -> np.ndarray:
+    """Rows of booleans as rows of words."""
+    padded = np.zeros((len(flags), -(-flags.shape[1] // 64) * 64), np.uint8)
+    padded[:, : flags.shape[1]] = flags
+    return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
 
+
+def best_rows(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, row number) of rows that hold, for each query, the best row of each of the k best ids.
+
+    An id is as good as its row with the greatest inner product; ties go to lower row numbers, and ids ascend.
     own: per query a bitmap of rows that don't count. Components are made non-negative first: an offset of the rows and,
     for negative query components, the complement of the slice change every score of a query by the same amount.
+    Where rows of one id take several of the k places, rows of all ids chosen so far are left out and the choice is
+    repeated for the places that remain; each time gives one more id at least.
     """
     low = rows.min(axis=0)
     adder = Adder()
@@ -82,19 +107,23 @@ def best_rows(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int) ->
                     adder.add(p & mask, j + b)
     left = ~own
     left[:, -1] &= ones >> np.uint64(-len(rows) % 64)
-    sure = np.zeros_like(left)
-    need = np.minimum(k, np.bitwise_count(left).sum(axis=1, dtype=np.int64))
-    for plane in reversed(adder.total()):
-        if plane is None:
-            continue
-        high = left & plane
-        more = (np.bitwise_count(sure | high).sum(axis=1, dtype=np.int64) > need)[:, None]
-        sure = np.where(more, sure, sure | high)
-        left = np.where(more, high, left & ~plane)
-    at = lambda m: np.unpackbits(m.view(np.uint8), axis=1, bitorder="little")
-    some, tied = at(sure), at(left)
-    tied &= np.cumsum(tied, axis=1, dtype=np.int32) <= (need - some.sum(axis=1, dtype=np.int64))[:, None]
-    return np.nonzero(some | tied)
+    planes = [p for p in adder.total() if p is not None]
+    i, j = chosen(planes, left, np.full(len(queries), k))
+    group = np.cumsum(np.r_[0, ids[1:] != ids[:-1]])
+    if group[-1] + 1 == len(ids):
+        return i, j
+    found, active, missing = [(i, j)], np.arange(len(queries)), np.full(len(queries), k)
+    while True:
+        hit = np.zeros((len(active), group[-1] + 1), bool)
+        hit[i, group[j]] = True
+        left = left & ~bitmaps(hit[:, group])
+        missing = missing - hit.sum(axis=1)
+        more = (missing > 0) & left.any(axis=1)
+        if not more.any():
+            return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        active, left, missing, planes = active[more], left[more], missing[more], [p[more] for p in planes]
+        i, j = chosen(planes, left, missing)
+        found.append((active[i], j))
 
 
 def top_k(rows: DataFrame, is_query, k: int = 5, scale: int = 256, rows_in_block: int = 4096, queries_in_block: int = 256) -> DataFrame:
@@ -102,7 +131,8 @@ def top_k(rows: DataFrame, is_query, k: int = 5, scale: int = 256, rows_in_block
 
     Score: inner product of floor(scale * x); ties go to the smaller vec_id; rows with a query's own id are no candidates
     for it. Vectors that are null or empty, or that hold a null or non-finite component, and rows without an id take no
-    part. Equal rows count once; vectors meet only vectors of their length. Scores beyond 62 bits raise an error.
+    part. Equal rows count once; of an id with several vectors the pair with the greatest score counts. Vectors meet
+    only vectors of their length. Scores beyond 62 bits raise an error.
     """
     x = F.col("embedding").cast("array<double>")
     good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
@@ -112,7 +142,7 @@ def top_k(rows: DataFrame, is_query, k: int = 5, scale: int = 256, rows_in_block
     wanted = base.where(is_query(F.col("vec_id")))
     n_rows = max(1, -(-base.count() // rows_in_block))
     n_queries = max(1, -(-wanted.count() // queries_in_block))
-    block = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(n)), F.lit(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "v", F.lit(n)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     cell = ["dim", "r", "q"]
     left = wanted.select("vec_id", "v", F.size("v").alias("dim"), every(n_rows).alias("r"), block(n_queries).alias("q"))
@@ -127,9 +157,7 @@ def top_k(rows: DataFrame, is_query, k: int = 5, scale: int = 256, rows_in_block
         if sum(most) + int(qv.shape[1]).bit_length() > 61:
             raise ValueError("scores need more than 62 bits")
         qid, cid = q["vec_id"].to_numpy(), c["vec_id"].to_numpy()
-        mine = np.zeros((len(qid), -(-len(cid) // 64) * 64), np.uint8)
-        mine[:, : len(cid)] = qid[:, None] == cid[None, :]
-        i, j = best_rows(qv, cv, np.packbits(mine, axis=1, bitorder="little").view(np.uint64), k)
+        i, j = best_rows(qv, cv, bitmaps(qid[:, None] == cid[None, :]), k, cid)
         return pd.DataFrame({"query_id": qid[i], "vec_id": cid[j], "score": (qv[i] * cv[j]).sum(axis=1)})
 
     found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(run, "query_id long, vec_id long, score long")

@@ -234,6 +234,26 @@ def test_top_k_against_all_pairs(spark):
     assert topk_bitslice.top_k(df.where("false"), lambda i: i % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("in_block", [4096, 64])
+def test_top_k_of_ids_with_many_vectors(spark, in_block):
+    rng = np.random.default_rng(8)
+    data = [(i, rng.normal(0, 0.2, 6).astype(np.float32)) for i in range(200)]
+    data += [(i, (s * rng.uniform(1, 2, 6)).astype(np.float32)) for i, n in ((7, 90), (9, 40), (50, 20), (61, 12)) for _ in range(n) for s in (-1, 1)]
+    data += [(i, v) for i in (300, 350) for v in (np.float32([0.1, 0.2]), np.float32([0.2, 0.1]))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in data], "vec_id long, embedding array<float>")
+    best = {}
+    for q, a in data:
+        for c, b in data:
+            if q % 50 == 0 and q != c and len(a) == len(b):
+                s = int(np.floor(256 * a.astype(float)) @ np.floor(256 * b.astype(float)))
+                best[q, c] = max(best.get((q, c), s), s)
+    want = set()
+    for q in {q for q, _ in best}:
+        want |= {(q, k, c, -s) for k, (s, c) in enumerate(sorted((-s, c) for (p, c), s in best.items() if p == q)[:5], 1)}
+    got = topk_bitslice.top_k(df, lambda i: i % 50 == 0, rows_in_block=in_block, queries_in_block=8).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_scores_too_large_for_a_long(spark):
     df = spark.createDataFrame([(0, [1e9, 1e9]), (1, [1e9, 2e9])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="62 bits"):
