@@ -65,6 +65,24 @@ def test_rendering(html, text):
     assert render(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be", "let x=2 be"), ("a<math display=block><mi>y</mi></math>b", "a\ny\nb"),
+        ("<math><semantics><mrow><mi>x</mi></mrow><annotation encoding='application/x-tex'>\\bf x</annotation></semantics></math>!", "x!"), ("<math><mphantom><mi>no</mi></mphantom><mi>z</mi></math>", "z"),
+        ("p <svg><title>no</title><desc>no</desc><defs><text>no</text></defs><path d='M0'/><text>one</text><text x=1>two <tspan>2</tspan><tspan dy=1>three</tspan></text></svg> q", "p one two 2 three q"),
+        ("<svg><text display=none>no</text><text visibility=hidden>no</text><g><text>yes</text></g></svg>", "yes"),
+        ("Say: <textarea>\n a &amp; <b>b</b>\n  c</textarea> end", "Say:  a & <b>b</b>\n  c end"), ("x <textarea>open <i>", "x open <i>"), ("<div hidden><textarea><p>no</textarea></div>y", "y"), ("<textarea></textarea>y", "y"),
+        ("<p>Pick <select><option>one<option value=2 selected>two</option></select> now</p>", "Pick\none\ntwo\nnow"), ("<select><optgroup label=G><option>a<option label=B>no<optgroup label=H><option>c</select>", "G\na\nB\nH\nc"), ("<datalist><option>no</datalist>y", "y"),
+        ("<table><tr><td rowspan=2>A<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>", "A  b  c\n   d  e\nf  g  h"), ("<table><tr><td>a<td rowspan=2 colspan=2>BB<td>c<tr><td>d<td>e<tr><td>f<td>gg<td>hh<td>i</table>", "a  BB      c\nd          e\nf  gg  hh  i"),
+        ("<table><tbody><tr><td rowspan=0>A<td>b<tr><td>c<tr><td>d</tbody><tr><td>e<td>f</table>", "A  b\n   c\n   d\ne  f"), ("<table><thead><tr><th rowspan=9>H<th>I</thead><tbody><tr><td>1<td>2</table>", "H  I\n1  2"),
+        ("<table><tr><td>x<td rowspan=2>y<br>z<tr><td>w</table>", "x  y\n   z\nw"), ("<table><tr><td rowspan=x>a<td>b<tr><td>c<td>d</table>", "a  b\nc  d"),
+    ],
+)
+def test_text_in_all_that_is_shown(html, text):
+    assert render(html) == text
+
+
 def test_deep_and_broken_pages():
     assert render("<div>" * 5000 + "x") == "x"
     assert "x" in render("<table><tr><td>" * 500 + "x")
