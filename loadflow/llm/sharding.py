@@ -1,6 +1,6 @@
 """Sharding by Hilbert-curve order over several metadata dimensions.
 
-Each dimension is quantised between its least and greatest value, the cell's index on the Hilbert curve orders the
+Each dimension is quantised by rank: equal parts of the rows, whatever the values. The cell's index on the Hilbert curve orders the
 rows, and the order is cut into runs. A shard then covers a small range in every dimension, so that readers prune
 files by any of them. The global order needs no single sort: counts per cell give each cell's first place,
 and rows are numbered within fine cells only. Only DataFrame functions run.
@@ -58,40 +58,56 @@ def curve_index(parts: list[Column], bits: int) -> Column:
     return F.aggregate(F.array(*levels), F.struct(F.lit(0).alias("state"), F.lit(0).alias("h")), step, lambda a: a["h"])
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A number that orders like the column: strings by their first 7 bytes, nulls like the least value."""
-    if dict(df.dtypes)[name] == "string":
-        return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double"), F.lit(None).cast("double"))
-    return F.col(name).cast("double")
+def ordered(df: DataFrame, name: str) -> Column:
+    """A value that orders like the column: the bytes of strings, else a number."""
+    return F.col(name).cast("binary" if dict(df.dtypes)[name] == "string" else "double")
+
+
+def cells_of(rows: DataFrame, d: str, total: int, bits: int) -> Column:
+    """The cell of column d: where the middle of its value's rows stands in the order of all rows. Nulls are in cell 0.
+
+    Distinct values are counted and dealt by ranges; prefix sums over the ranges and inside give their places. Only the
+    least value of each cell is collected, as the cells of all other values follow from it.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    values = rows.groupBy(d).agg(F.count(F.lit(1)).alias("n"))
+    values = written(values.repartitionByRange(parts, d).withColumn("part", F.spark_partition_id()))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    first = values.groupBy("part").agg(F.sum("n").alias("n"))
+    first = first.select("part", F.coalesce(F.sum("n").over(before(Window.orderBy("part"))), F.lit(0)).alias("n0"))
+    at = F.coalesce(F.sum("n").over(before(Window.partitionBy("part").orderBy(d))), F.lit(0))
+    placed = values.withColumn("at", at).join(F.broadcast(first), "part")  # one row a partition of the shuffle
+    cell = F.floor((2 * (F.col("n0") + F.col("at")) + F.col("n")).cast("double") / (2 * max(total, 1)) * (1 << bits)).cast("int")
+    least = placed.where(F.col(d).isNotNull()).groupBy(cell.alias("cell")).agg(F.min(d).alias("least")).collect()
+    if not least:
+        return F.lit(0)
+    least = sorted((r["cell"], r["least"]) for r in least)
+    passed = F.size(F.filter(F.array(*[F.lit(v) for _, v in least]), lambda v: v <= F.col(d)))
+    return F.coalesce(F.get(F.array(*[F.lit(c) for c, _ in least]), passed - 1), F.lit(0))
 
 
 def shard(docs: DataFrame, n_shards: int = 8, law: str = "rows", dimensions: tuple[str, ...] = ("source", "lang", "doc_id"), bits: int = 4, keep: list[str] | None = None) -> DataFrame:
     """Per row of docs the struct `row` of its columns in keep (doc_id), size, text_crc32, cell, shard and slot (gapless from 0 in each shard).
 
     size is the text's UTF-8 bytes (none for null) plus 1. law "rows": row counts differ by one at most; "bytes": runs
-    end where the sum of sizes passes a shard's part. The size, on a log scale, is a dimension besides those
-    named. Null values count as the least of their dimension; repeated rows are placed side by side, each on its own.
+    end where the sum of sizes passes a shard's part. The size is a dimension besides those named. Null values count as the least of their dimension; repeated rows are placed side by side, each on its own.
     An empty table gives no rows.
     """
     if law not in ("rows", "bytes"):
         raise ValueError("law is rows or bytes")
     keep = keep or ["doc_id"]
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    numbers = [as_number(docs, d).alias(f"d{i}") for i, d in enumerate(dimensions)]
+    numbers = [ordered(docs, d).alias(f"d{i}") for i, d in enumerate(dimensions)]
     rows = written(
         docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *numbers)
-        .withColumn(f"d{len(numbers)}", F.log2("size")),
+        .withColumn(f"d{len(numbers)}", F.col("size").cast("double")),
         row_id="rid",
     )
     dims = [f"d{i}" for i in range(len(numbers) + 1)]
-    ends = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), *[f(d).alias(f"{d}_{k}") for d in dims for k, f in (("low", F.min), ("high", F.max))]).first()
+    ends = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     n, total = ends["n"], ends["bytes"]
 
-    def coordinate(d: str) -> Column:
-        low, high = ends[f"{d}_low"] or 0.0, ends[f"{d}_high"] or 0.0
-        return F.least(F.lit((1 << bits) - 1), F.coalesce(F.floor((F.col(d) - low) / ((high - low) or 1.0) * (1 << bits)).cast("int"), F.lit(0)))
-
-    rows = rows.withColumn("cell", curve_index([coordinate(d) for d in dims], bits))
+    rows = rows.withColumn("cell", curve_index([cells_of(rows, d, n, bits) for d in dims], bits))
     rows = rows.withColumn("fine", F.col("cell").cast("long") * FINE + F.pmod(F.xxhash64("id"), F.lit(FINE)))
     # First places: over groups of 4096 fine cells, over the fine cells of a group, over the rows of a fine cell.
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)

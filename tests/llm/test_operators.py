@@ -175,6 +175,22 @@ def test_curve_steps_to_neighbours(spark, n, bits):
     assert set(np.abs(np.diff(points, axis=0)).sum(axis=1)) == {1}
 
 
+def test_common_starts_and_outliers_still_spread(spark):
+    data = [(i if i else 10**15, f"https://common.example.org/{(i * 7) % 64:02d}", None if i % 64 == 0 else "en", "same") for i in range(2048)]
+    df = spark.createDataFrame(data, "doc_id long, source string, lang string, text string")
+    for d in ("source", "doc_id"):
+        at = defaultdict(set)
+        for r in sharding.shard(df, dimensions=(d,), keep=["doc_id", "source"]).collect():
+            at[r["cell"]].add(r["row"][d])
+        assert len(at) == 16 and sum(map(len, at.values())) == len({x for v in at.values() for x in v})
+        runs = sorted(at.values(), key=min)
+        assert all(max(a) < min(b) for a, b in zip(runs, runs[1:]))
+        assert max(map(len, runs)) - min(map(len, runs)) <= 1
+    assert len({r["cell"] for r in sharding.shard(df, dimensions=("lang",)).collect()}) == 2
+    per_shard = sharding.shard(df, keep=["source"]).groupBy("shard").agg(F.countDistinct("row.source").alias("n")).collect()
+    assert max(r["n"] for r in per_shard) <= 32
+
+
 def test_written_shards(docs, spark, tmp_path):
     sharding.write_shards(docs, f"{tmp_path}/s", 3)
     back = spark.read.parquet(f"{tmp_path}/s")
