@@ -1,4 +1,4 @@
-"""Encoding, rendering, and the pipeline."""
+"""Encoding, and the pipeline."""
 
 import hashlib
 import random
@@ -6,8 +6,7 @@ from collections import Counter
 
 import pytest
 
-from loadflow.llm import bpe, html_layout, queries
-from loadflow.llm.html_layout import render
+from loadflow.llm import bpe, queries
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -51,54 +50,6 @@ def test_encoded_documents(docs, rows, library):
     assert bpe.encode_documents(docs.where("false"), queries.tokenizer_path()).count() == 0
 
 
-@pytest.mark.parametrize(
-    ("html", "text"),
-    [
-        (None, ""), ("", ""), ("plain & &lt;text&gt;", "plain & <text>"), ("<p>a<p>b", "a\n\nb"), ("<div>a</div><div>b</div>", "a\nb"), ("a<br>b<br><br>c", "a\nb\n\nc"), ("<b>x</b> <i>y</i>z", "x yz"),
-        ("<ul><li>one<li>two<ul><li>in</ul><li>three</ul>", "- one\n- two\n    - in\n- three"), ("<ol start=9><li>x<li>y</ol>", "9. x\n10. y"), ("<pre> a\n   b</pre>", " a\n   b"),
-        ("<table><tr><th>Name<th>N<tr><td>longer<td>1</table>", "Name    N\nlonger  1"), ("<table><tr><td>a<br>b<td>c<tr><td colspan=2>both</table>", "a  c\nb\nboth"), ("<table><tr><td>x<table><tr><td>in<td>ner</table><td>y</table>", "x        y\n\nin  ner"),
-        ("<p>a<div hidden>no</div><span style='display: none'>no</span>b", "a\n\nb"), ("<p style='visibility:hidden'>no<b style='visibility:visible'>yes</b></p>", "yes"), ("<head><title>t</title></head><body>x<script>if (a<b) '</p>'</script><!-- c -->y", "xy"),
-        ("</p></table></li>x</div>", "x"), ("<td>lone<li>item", "lone\n- item"), ("<blockquote>q</blockquote>r", "  q\n\nr"), ("<dl><dt>t<dd>d1<dd>d2</dl>", "t\n  d1\n  d2"), ("<h1>H</h1>text<hr>more", "H\n\ntext\n\nmore"),
-    ],
-)
-def test_rendering(html, text):
-    assert render(html) == text
-
-
-@pytest.mark.parametrize(
-    ("html", "text"),
-    [
-        ("let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be", "let x=2 be"), ("a<math display=block><mi>y</mi></math>b", "a\ny\nb"),
-        ("<math><semantics><mrow><mi>x</mi></mrow><annotation encoding='application/x-tex'>\\bf x</annotation></semantics></math>!", "x!"), ("<math><mphantom><mi>no</mi></mphantom><mi>z</mi></math>", "z"),
-        ("p <svg><title>no</title><desc>no</desc><defs><text>no</text></defs><path d='M0'/><text>one</text><text x=1>two <tspan>2</tspan><tspan dy=1>three</tspan></text></svg> q", "p one two 2 three q"),
-        ("<svg><text display=none>no</text><text visibility=hidden>no</text><g><text>yes</text></g></svg>", "yes"),
-        ("Say: <textarea>\n a &amp; <b>b</b>\n  c</textarea> end", "Say:  a & <b>b</b>\n  c end"), ("x <textarea>open <i>", "x open <i>"), ("<div hidden><textarea><p>no</textarea></div>y", "y"), ("<textarea></textarea>y", "y"),
-        ("<p>Pick <select><option>one<option value=2 selected>two</option></select> now</p>", "Pick\none\ntwo\nnow"), ("<select><optgroup label=G><option>a<option label=B>no<optgroup label=H><option>c</select>", "G\na\nB\nH\nc"), ("<datalist><option>no</datalist>y", "y"),
-        ("<table><tr><td rowspan=2>A<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>", "A  b  c\n   d  e\nf  g  h"), ("<table><tr><td>a<td rowspan=2 colspan=2>BB<td>c<tr><td>d<td>e<tr><td>f<td>gg<td>hh<td>i</table>", "a  BB      c\nd          e\nf  gg  hh  i"),
-        ("<table><tbody><tr><td rowspan=0>A<td>b<tr><td>c<tr><td>d</tbody><tr><td>e<td>f</table>", "A  b\n   c\n   d\ne  f"), ("<table><thead><tr><th rowspan=9>H<th>I</thead><tbody><tr><td>1<td>2</table>", "H  I\n1  2"),
-        ("<table><tr><td>x<td rowspan=2>y<br>z<tr><td>w</table>", "x  y\n   z\nw"), ("<table><tr><td rowspan=x>a<td>b<tr><td>c<td>d</table>", "a  b\nc  d"),
-    ],
-)
-def test_text_in_all_that_is_shown(html, text):
-    assert render(html) == text
-
-
-def test_deep_and_broken_pages():
-    assert render("<div>" * 5000 + "x") == "x"
-    assert "x" in render("<table><tr><td>" * 500 + "x")
-    assert render("<ul><li>" * 300 + "x").strip(" -") == "x"
-    assert render("<") == "<"
-
-
-def test_pages(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    got = html_layout.extract(pages).collect()
-    want = {r["page_id"]: render(r["html"]) for r in pages.collect()}
-    assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
-    for r in pages.limit(20).collect():
-        assert "track(" not in want[r["page_id"]] and "margin:0" not in want[r["page_id"]] and "&copy;" not in want[r["page_id"]]
-
-
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
     from loadflow.llm import mixing, quality_qda, secret_scan, simhash
