@@ -1,9 +1,11 @@
 """Each operator against a brute-force version, over documents with edge cases."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -234,45 +236,51 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
 # Top k
 
 
+def brute_top_k(data, k=5, every=50):
+    """Every row but the query's own, in exact integers."""
+    ints = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in data if i is not None and v and None not in v and all(map(math.isfinite, v))]
+    want = Counter()
+    for n, (q, a) in enumerate(ints):
+        if q % every == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), c) for m, (c, b) in enumerate(ints) if m != n and len(a) == len(b))[:k]
+            want.update((q, rank, c, -s) for rank, (s, c) in enumerate(best, 1))
+    return want
+
+
 def test_top_k_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     data = [(i, [float(x) for x in rng.normal(0, 0.2, 9).round(1)]) for i in range(700)]
     data += [(1000 + i, data[3][1]) for i in range(70)] + [(50, data[50][1]), (2000, None), (2001, [None] + [0.0] * 8), (2002, [float("nan")] * 9), (2003, [float("inf")] * 9), (2050, [0.5] * 4), (2051, [0.1] * 4), (2052, []), (None, [0.1] * 9)]
-    df = spark.createDataFrame([(i, v, "x") for i, v in data], "vec_id long, embedding array<float>, score string")
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in data], "vec_id long, embedding array<float>, score string, rid string")
     got = topk_bitslice.top_k(df, lambda i: i % 50 == 0, rows_in_block=128, queries_in_block=8)
-    good = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for i, v in data if i is not None and v and None not in v and np.isfinite(v).all()}
-    want = set()
-    for q in good:
-        if q % 50 == 0:
-            best = sorted((-int(good[q] @ good[c]), c) for c in good if c != q and len(good[c]) == len(good[q]))[:5]
-            want |= {(q, k, c, -s) for k, (s, c) in enumerate(best, 1)}
-    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    singles = [(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in data]
+    assert multiset(got.collect()) == brute_top_k(singles)
     assert topk_bitslice.top_k(df.where("false"), lambda i: i % 50 == 0).count() == 0
+    assert topk_bitslice.top_k(df.where("vec_id = 50").limit(1), lambda i: i % 50 == 0).count() == 0
 
 
-@pytest.mark.parametrize("in_block", [4096, 64])
+@pytest.mark.parametrize("in_block", [8192, 64])
 def test_top_k_of_ids_with_many_vectors(spark, in_block):
     rng = np.random.default_rng(8)
-    data = [(i, rng.normal(0, 0.2, 6).astype(np.float32)) for i in range(200)]
-    data += [(i, (s * rng.uniform(1, 2, 6)).astype(np.float32)) for i, n in ((7, 90), (9, 40), (50, 20), (61, 12)) for _ in range(n) for s in (-1, 1)]
-    data += [(i, v) for i in (300, 350) for v in (np.float32([0.1, 0.2]), np.float32([0.2, 0.1]))]
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in data], "vec_id long, embedding array<float>")
-    best = {}
-    for q, a in data:
-        for c, b in data:
-            if q % 50 == 0 and q != c and len(a) == len(b):
-                s = int(np.floor(256 * a.astype(float)) @ np.floor(256 * b.astype(float)))
-                best[q, c] = max(best.get((q, c), s), s)
-    want = set()
-    for q in {q for q, _ in best}:
-        want |= {(q, k, c, -s) for k, (s, c) in enumerate(sorted((-s, c) for (p, c), s in best.items() if p == q)[:5], 1)}
+    data = [(i, rng.normal(0, 0.2, 6)) for i in range(200)]
+    data += [(i, s * rng.uniform(1, 2, 6)) for i, n in ((7, 90), (9, 40), (50, 20), (61, 12)) for _ in range(n) for s in (-1, 1)]
+    data += [(i, v) for i in (300, 350) for v in (np.array([0.1, 0.2]), np.array([0.2, 0.1]))] * 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in data], "vec_id long, embedding array<double>")
     got = topk_bitslice.top_k(df, lambda i: i % 50 == 0, rows_in_block=in_block, queries_in_block=8).collect()
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
-
-
-def test_scores_too_large_for_a_long(spark):
-    df = spark.createDataFrame([(0, [1e9, 1e9]), (1, [1e9, 2e9])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="62 bits"):
+    assert multiset(got) == brute_top_k([(i, v.tolist()) for i, v in data])
+
+
+def test_scores_of_any_size(spark):
+    rng = np.random.default_rng(2)
+    data = [(i, [float(rng.integers(-8, 9)) * 10.0 ** int(rng.integers(-3, 15)), 1e8 * i, -1e8 * i, 0.3]) for i in range(120)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    wide = topk_bitslice.top_k(df, lambda i: i % 50 == 0, rows_in_block=32, score="decimal(38,0)").collect()
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], int(r["score"])) for r in wide) == brute_top_k(data)
+    assert max(r["score"] for r in wide) > 1 << 63
+    huge = [(0, [1e30, -1e30, 1.0]), (1, [1e30, 1e30, 2.0]), (2, [3.0, 3.0, 3.0])]  # terms of 200 digits of two that cancel out
+    got = topk_bitslice.top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), lambda i: i == 0).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 2, 3 * 65536), (0, 2, 1, 2 * 65536)]
+    with pytest.raises(Exception, match="(?i)overflow"):
         topk_bitslice.top_k(df, lambda i: i % 50 == 0).collect()
 
 
