@@ -20,10 +20,10 @@ _TEXT = "array_to_string(list_transform({s}, lambda s: s['kind'] || ':' || s['st
 
 SECRETS = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
-f AS (SELECT rid, doc_id, source, list_sort({" || ".join(_spans(*one, rank) for rank, one in enumerate(BASE))}) AS base, {_spans(*LOOSE, len(BASE))} AS loose FROM d),
-g AS (SELECT rid, doc_id, source, base, list_filter(loose, lambda s: {_LOOKS.format(v="s['value']")} AND len(list_filter(base, lambda b: b['start'] < s['start'] + s['size'] AND s['start'] < b['start'] + b['size'])) = 0) AS loose FROM f),
-e AS (SELECT rid, doc_id, source, unnest(base || loose)['value'] AS v FROM g),
-o AS (SELECT v, count(DISTINCT coalesce('0' || source, '1')) > 2 OR count(DISTINCT (source, doc_id)) > 20 AS copied FROM e GROUP BY v),
+f AS (SELECT rid, doc_id, source, t, list_sort({" || ".join(_spans(*one, rank) for rank, one in enumerate(BASE))}) AS base, {_spans(*LOOSE, len(BASE))} AS loose FROM d),
+g AS (SELECT rid, doc_id, source, t, base, list_filter(loose, lambda s: {_LOOKS.format(v="s['value']")} AND len(list_filter(base, lambda b: b['start'] < s['start'] + s['size'] AND s['start'] < b['start'] + b['size'])) = 0) AS loose FROM f),
+e AS (SELECT rid, source, t, unnest(base || loose)['value'] AS v FROM g),
+o AS (SELECT v, count(DISTINCT owner) > 2 OR count(*) > 20 AS copied FROM (SELECT v, t, min(CAST('0x' || left(md5(coalesce('0' || source, '1')), 15) AS BIGINT)) AS owner FROM e GROUP BY v, t) GROUP BY v),
 s AS (SELECT rid, list(DISTINCT v) FILTER (NOT copied AND {_LOOKS.format(v="v")}) AS live, list(DISTINCT v) FILTER (copied) AS example FROM e JOIN o USING (v) GROUP BY rid),
 r AS (SELECT doc_id, base, list_sort(base || list_filter(loose, lambda x: list_contains(coalesce(live, []), x['value']))) AS spans, coalesce(live, []) AS live, coalesce(example, []) AS example FROM g LEFT JOIN s USING (rid))
 SELECT doc_id, {", ".join(f"CAST(len(list_filter(base, lambda s: s['kind'] = '{k}')) AS BIGINT) AS n_{k}" for k, *_ in BASE)}, sha256({_TEXT.format(s="base")}) AS base_sha256, {_TEXT.format(s="spans")} AS spans,

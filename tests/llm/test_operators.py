@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -124,8 +125,8 @@ def test_short_match_hides_what_it_covers(spark):
 
 
 def test_copied_values_are_examples_and_own_ones_live(spark):
-    data = [(i, "password=ExampleKey123", f"src{i % 4}") for i in range(8)] + [(10, "password=Own1Secret9x", "src1"), (11, "password=wordsonly", "src1"), (12, "see Zx81LoneToken99value77 here", "src2")]
-    data += [(20 + i, "see Zx82LoneToken99value77 here", f"src{i}") for i in range(4)]
+    data = [(i, "password=ExampleKey123" + " ." * i, f"src{i % 4}") for i in range(8)] + [(10, "password=Own1Secret9x", "src1"), (11, "password=wordsonly", "src1"), (12, "see Zx81LoneToken99value77 here", "src2")]
+    data += [(20 + i, "see Zx82LoneToken99value77 here" + " ." * i, f"src{i}") for i in range(4)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in secret_scan.digest(df).collect()}
     assert (got[0]["n_example"], got[0]["n_live"]) == (1, 0)
@@ -133,10 +134,52 @@ def test_copied_values_are_examples_and_own_ones_live(spark):
     assert (got[11]["n_example"], got[11]["n_live"]) == (0, 0)
     assert got[12]["spans"] == "owned:4:26" and got[20]["spans"] == ""
     red = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
-    assert red[10] == "[SECRET]" and red[0] == "password=ExampleKey123" and red[12] == "see [SECRET] here"
+    assert red[10] == "[SECRET]" and red[3] == "password=ExampleKey123 . . ." and red[12] == "see [SECRET] here"
     assert secret_scan.digest(df.where("false")).count() == 0
 
 
+def test_copies_of_a_text_are_one_repository(spark):
+    data = [(i, "password=Own1Secret9x", f"src{i % 4}") for i in range(50)] + [(100, "token: Two2Owners8zz a", "src1"), (101, "token: Two2Owners8zz b", None), (102, "token: Two2Owners8zz b", "src2")]
+    data += [(200 + i, f"token: Often3Seen7qq {i}", "src1") for i in range(21)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in secret_scan.digest(df).collect()}
+    assert {got[i] for i in range(50)} == {(1, 0)} and {got[i] for i in (100, 101, 102)} == {(1, 0)} and {got[200 + i] for i in range(21)} == {(0, 1)}
+
+
+def test_many_matches_in_one_text(spark):
+    """Positions, spans that touch others, and redaction against plain Python, with more matches than a square would bear."""
+    value = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    text = "é👍 " + "\n".join([f"{value(i)}" if i % 3 else f"x token={value(i)}/Ab+{value(i).upper()} AKIA{value(i).upper()}é" for i in range(20_000)])
+    df = spark.createDataFrame([(1, text, "s", len(text)), (2, "", "s", 0)], "doc_id long, text string, source string, n_chars long")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in secret_scan.digest(df).collect()}
+    base = base_spans(text)
+    assert got[1]["base_sha256"] == hashlib.sha256(",".join(f"{n}:{a}:{b}" for a, _, n, b in base).encode()).hexdigest()
+    spans = [s.split(":") for s in got[1]["spans"].split(",")]
+    assert [(int(a), int(b)) for n, a, b in spans if n != "owned"] == [(a, b) for a, _, _, b in base]
+    red = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}[1]
+    want, at = "", 0
+    for _, a, b in spans:
+        if int(a) >= at:
+            want += text[at : int(a)] + "[SECRET]"
+        at = max(at, int(b))
+    assert red == want + text[at:] and time.perf_counter() - began < 90
+
+
+def test_loose_spans_that_touch_no_base_span(spark):
+    rng = np.random.default_rng(4)
+    span = lambda a, n: {"start": int(a), "rank": 0, "kind": "k", "stop": int(a + n), "value": "v"}
+    data = []
+    for i in range(60):
+        base = sorted((span(a, n) for a, n in zip(rng.integers(0, 200, i % 9), rng.integers(1, 40, i % 9))), key=lambda s: (s["start"], s["stop"]))
+        at = np.sort(rng.choice(200, 2 * (i % 7), replace=False)).reshape(-1, 2)
+        data.append((i, base, [span(a, b - a) for a, b in at]))
+    df = spark.createDataFrame(data, f"i int, base {secret_scan._SPANS}, loose {secret_scan._SPANS}")
+    got = {r["i"]: [(s["start"], s["stop"]) for s in r["free"]] for r in df.select("i", secret_scan.apart(F.col("loose"), F.col("base")).alias("free")).collect()}
+    for i, base, loose in data:
+        assert sorted(got[i]) == [(s["start"], s["stop"]) for s in loose if not any(b["start"] < s["stop"] and s["start"] < b["stop"] for b in base)]
+
+
 # Sharding
 
 

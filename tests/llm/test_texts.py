@@ -68,7 +68,7 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r["doc_id"] for r in kept[0].collect()} == good
     assert {r["doc_id"] for r in kept[1].collect()} == {r["component_id"] for r in simhash.near_duplicates(kept[0]).collect()}
     assert kept[2].count() == kept[1].count()
-    assert secret_scan.scan(kept[2]).where("size(live) > 0").count() == 0
+    assert secret_scan.digest(kept[2]).where("n_live > 0").count() == 0
     taken = {r["doc_id"] for r in mixing.taken(kept[2]).where("taken > 0").collect()}
     assert {r["doc_id"] for r in kept[3].collect()} >= taken
     assert kept[4].count() == kept[3].count()
