@@ -4,40 +4,23 @@ The words of each source, in an order fixed by its documents, are one stream cut
 is a list of slots, dealt to output shards. Each slot of a shard draws its source, which makes the shard's counts
 multinomial; what a source draws beyond its quota goes to sources short of theirs, so that totals are exact.
 A source's slots run through its blocks in pseudorandom order, a new permutation for each round, and
-slots meet blocks by an equality join on (source, block). Only DataFrame functions run.
+slots meet blocks by an equality join on (source, block). Sources are a table like any other, however many there are.
+Only DataFrame functions run.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loadflow.llm.common import count_words, words_of, written
-
-#: Documents of a source are ordered by this many hash buckets, then by id; no window holds more than a bucket.
-BUCKETS = 4096
-#: The table of sources is metadata; more than this many raise an error.
-MAX_SOURCES = 10_000
-
-
-@dataclass
-class Source:
-    key: str
-    words: int
-    target: float
+from loadflow.llm.common import count_words, hot_join, words_of, written
+from loadflow.operators.ordered import row_numbers
 
-    def blocks(self, length: int) -> int:
-        return -(-self.words // length)
-
-    def slots(self, length: int) -> int:
-        """Whole rounds over all blocks, then as many blocks as the rest needs; the last is cut to fit."""
-        if not self.words:
-            return 0
-        rounds, rest = divmod(round(self.target), self.words)
-        return rounds * self.blocks(length) + -(-rest // length)
+#: Up to so many sources are broadcast (and at most 4096 rows more); beyond, they are joined by shuffles.
+FEW = 10_000
+#: Documents of a source are ordered by hash buckets, then by id; a bucket holds about so many rows of all sources.
+IN_BUCKET = 65536
 
 
 def source_key(source: Column) -> Column:
@@ -45,25 +28,59 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def targets(sizes: dict[str, int], weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> list[Source]:
-    """Sources in order of their keys with targets that share the sum of all sizes by repeating weights.
+def before(df: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """df(s, ...) with, per entry of sums, the sum of a column over all rows with a smaller s. s numbers the rows.
 
-    A target stops at `most` times its source's size; the excess is shared by weight among the others, until none is above.
+    Prefix sums inside groups of 4096 rows, and over the groups.
+    """
+    df = df.withColumn("_g", F.shiftright("s", 12))
+    groups = df.groupBy("_g").agg(*[F.sum(c).alias(f"_{out}") for out, c in sums.items()])
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("_g", *[F.coalesce(F.sum(f"_{out}").over(past(Window.orderBy("_g"))), F.lit(0)).alias(f"_{out}") for out in sums])
+    inside = past(Window.partitionBy("_g").orderBy("s"))
+    df = df.withColumns({out: F.coalesce(F.sum(c).over(inside), F.lit(0)) for out, c in sums.items()}).join(groups, "_g")
+    return df.withColumns({out: F.col(out) + F.col(f"_{out}") for out in sums}).drop("_g", *[f"_{out}" for out in sums])
+
+
+class Sources:
+    """The table of sources: s (numbers from 0 in order of keys), key, n (rows), words, target, and the slots of a mix:
+    whole rounds over all blocks, then as many blocks as the rest needs, the last one cut to fit.
+
+    Targets share the sum of all words by repeating weights. A target stops at `most` times its source's words, and the excess is
+    shared by weight among the others until none is above: all have min(unit * weight, most * words) for one
+    unit, to which Newton's steps climb; each step is one aggregate over the table.
     """
-    keys = sorted(sizes)
-    weight = {k: weights[i % len(weights)] for i, k in enumerate(keys)}
-    target: dict[str, float] = {}
-    free, left = [k for k in keys if sizes[k]], float(sum(sizes.values()))
-    while free:
-        unit = left / sum(weight[k] for k in free)
-        over = [k for k in free if unit * weight[k] > most * sizes[k]]
-        if not over:
-            target |= {k: unit * weight[k] for k in free}
-            break
-        target |= {k: most * sizes[k] for k in over}
-        left -= sum(target[k] for k in over)
-        free = [k for k in free if k not in target]
-    return [Source(k, sizes[k], target.get(k, 0.0)) for k in keys]
+
+    def __init__(self, rows: DataFrame, length: int, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0):
+        sizes = rows.groupBy("key").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+        table = row_numbers(sizes, "s", ["key"]).withColumn("s", F.col("s") - 1)
+        table = written(table.withColumn("weight", F.get(F.array(*[F.lit(str(w)).cast("decimal(18,6)") for w in weights]), F.pmod("s", F.lit(len(weights))).cast("int"))))
+        sums = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+        self.count, self.rows, unit, full = sums["n"], sums["rows"], 0.0, F.col("words") * F.lit(most)
+        capped = lambda u: (F.col("words") == 0) | (F.col("weight").cast("double") * F.lit(u) > full)
+        while sums["words"]:
+            at = table.agg(F.sum(F.when(~capped(unit), F.col("weight"))).alias("weight"), F.coalesce(F.sum(F.when(capped(unit), F.col("words"))), F.lit(0)).alias("words")).first()
+            step = (sums["words"] - most * at["words"]) / float(at["weight"]) if at["weight"] else unit
+            if step <= unit:
+                break
+            unit = step
+        target = F.when(capped(unit), full).otherwise(F.col("weight").cast("double") * F.lit(unit))
+        due, blocks = F.round(F.col("target")).cast("long"), F.ceil(F.col("words") / F.lit(length))
+        table = table.select("s", "key", "n", "words", target.alias("target"))
+        table = table.select("*", F.coalesce(blocks, F.lit(0)).alias("blocks"), F.when(F.col("words") > 0, F.floor(due / F.col("words"))).otherwise(0).alias("whole"))
+        table = table.withColumn("rest", due - F.col("whole") * F.col("words")).withColumn("slots", F.col("whole") * F.col("blocks") + F.ceil(F.col("rest") / F.lit(length)))
+        self.table = written(table)
+        self.slots = self.table.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first()["n"]
+
+    def few(self, table: DataFrame) -> DataFrame:
+        """A table with a row a source (and 4096 more at most), for a join: broadcast if there are few sources."""
+        return F.broadcast(table) if self.count <= FEW else table
+
+    def join(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """rows(key, ...) of the documents with columns of their sources; hot sources' rows stay where they are."""
+        if self.count <= FEW:
+            return rows.join(F.broadcast(self.table.select("key", *columns)), "key")
+        return hot_join(rows, self.table.select("key", "n", *columns), ["key"], "n", max(1, self.rows))
 
 
 def permuted(index: Column, size: Column, seed: list[Column], rounds: int = 12) -> Column:
@@ -80,24 +97,17 @@ def permuted(index: Column, size: Column, seed: list[Column], rounds: int = 12)
 
 
 def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Written: rid, key (of the source), size in words, and the columns in keep as the struct `row`."""
+    """Written: rid, key (of the source), size in words, a hash of the text, and the columns in keep as the struct `row`."""
     row = F.struct(*[F.col(f"`{c}`") for c in keep])
-    return written(docs.select(row.alias("row"), source_key(F.col("source")).alias("key"), count_words(F.col("text")).alias("size")), row_id="rid")
+    return written(docs.select(row.alias("row"), source_key(F.col("source")).alias("key"), count_words(F.col("text")).alias("size"), F.xxhash64("text").alias("hash")), row_id="rid")
 
 
-def sources_of(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1)) -> list[Source]:
-    sizes = rows.groupBy("key").agg(F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    return targets({r["key"]: r["words"] for r in sizes}, weights)
-
-
-def streams(rows: DataFrame, order: list[str]) -> DataFrame:
+def streams(rows: DataFrame, order: list[str], n_rows: int) -> DataFrame:
     """rows with `begin`, the place of its first word in its source's stream.
 
-    Prefix sums in two levels: over the buckets of a source, and over the rows of a bucket; a hot source has BUCKETS windows.
+    Prefix sums in two levels: over the buckets of a source, and over the rows of a bucket. Rows that agree in all of order stand side by side.
     """
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(max(64, n_rows // IN_BUCKET))))
     inside = Window.partitionBy("key", "bucket").orderBy(*order, "rid").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("key", "bucket").agg(F.sum("size").alias("n")).select("key", "bucket", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
@@ -114,91 +124,72 @@ def pieces(placed: DataFrame, length: int) -> DataFrame:
     return each.select("rid", "key", "block", low.alias("low"), F.least(F.col("size"), first + length).alias("high"), (low - first).alias("at"))
 
 
-def draw(spark, sources: list[Source], length: int, shard_slots: int, seed: int) -> DataFrame:
+def cells(df: DataFrame, begin: str, end: str, width: int) -> DataFrame:
+    """A row for each cell of a width that the interval [begin, end) reaches into."""
+    return df.withColumn("cell", F.explode(F.sequence(F.floor(F.col(begin) / width), F.floor((F.col(end) - 1) / width))))
+
+
+def draw(sources: Sources, length: int, shard_slots: int, seed: int) -> DataFrame:
     """The mix: shard, key, round, block, keep (words taken from the block's start).
 
-    Draws are hashes of (seed, shard, slot), so that reruns agree. Counts per (shard, source) are all that is ordered.
+    Draws are hashes of (seed, slot), so that reruns agree: a slot draws a number below that of all slots, and the source in whose
+    interval it falls, found by an equality join on cells of the numbers. Counts per (shard, source) are all that is ordered.
     """
-    live = [s for s in sources if s.slots(length)]
-    total = sum(s.slots(length) for s in live)
-    empty = spark.range(0).select(F.col("id").alias("shard"), F.lit("").alias("key"), F.col("id").alias("round"), F.col("id").alias("block"), F.col("id").alias("keep"))
-    if not total:
-        return empty
-    edges, done = [], 0
-    for s in live:
-        done += s.slots(length)
-        edges.append(done / total)
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / F.lit(float(1 << 53))
-    which = F.size(F.filter(F.array(*[F.lit(x) for x in edges[:-1]]), lambda e: e <= chance)) if len(live) > 1 else F.lit(0)
+    total, spark = sources.slots, sources.table.sparkSession
+    live = written(before(sources.table.where("slots > 0"), {"first": "slots"}))
     parts = max(spark.sparkContext.defaultParallelism, -(-total // 4_000_000))
-    counts = spark.range(0, total, 1, parts).groupBy(F.floor(F.col("id") / shard_slots).alias("shard"), which.alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    quota = F.array(*[F.lit(s.slots(length)) for s in live])
-    w = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = written(counts).withColumn("from", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("quota", F.get(quota, F.col("s")))
-    kept = F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("from")))
-    counts = written(counts.select("shard", "s", "from", kept.alias("n"), (F.col("n") - kept).alias("over"), "quota"))
+    width = max(1, -(-total // 4096)) if sources.count <= FEW else 256
+    edges = cells(live.select("s", "first", (F.col("first") + F.col("slots")).alias("behind")), "first", "behind", width)
+    x = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(total, 1)))
+    drawn = spark.range(0, total, 1, parts).select(F.floor(F.col("id") / shard_slots).alias("shard"), x.alias("x")).withColumn("cell", F.floor(F.col("x") / width))
+    counts = drawn.join(sources.few(edges), "cell").where("first <= x and x < behind").groupBy("shard", "s").agg(F.count(F.lit(1)).alias("n"))
+    past = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = written(counts.join(sources.few(live.select("s", "slots")), "s")).withColumn("from", F.coalesce(F.sum("n").over(past), F.lit(0)))
+    kept = F.greatest(F.lit(0), F.least(F.col("n"), F.col("slots") - F.col("from")))
+    counts = written(counts.select("shard", "s", "from", kept.alias("n"), (F.col("n") - kept).alias("over")))
     # What sources drew beyond their quotas, in order of (source, shard), fills what others lack, in order of source.
-    drawn = {r["s"]: (r["n"], r["over"]) for r in counts.groupBy("s").agg(F.sum("n").alias("n"), F.sum("over").alias("over")).collect()}
-    spare, lack, starts = 0, [], {}
-    for i in range(len(live)):
-        starts[i] = spare
-        spare += drawn.get(i, (0, 0))[1]
-    at = 0
-    for i, s in enumerate(live):
-        short = s.slots(length) - drawn.get(i, (0, 0))[0]
-        if short:
-            lack.append((i, at, at + short, s.slots(length) - short))
-            at += short
-    runs = counts.select("shard", "s", "from", "n")
-    if lack:
-        w2 = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        begin = F.get(F.array(*[F.lit(starts[i]) for i in range(len(live))]), F.col("s")) + F.coalesce(F.sum("over").over(w2), F.lit(0))
-        gaps = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(f).alias("f")) for i, a, b, f in lack])
-        moved = counts.withColumn("begin", begin).where("over > 0").select("shard", "begin", (F.col("begin") + F.col("over")).alias("end"), F.explode(gaps).alias("g"))
-        low, high = F.greatest("begin", "g.a"), F.least("end", "g.b")
-        runs = runs.unionByName(moved.where(low < high).select("shard", F.col("g.s").alias("s"), (F.col("g.f") + low - F.col("g.a")).alias("from"), (high - low).alias("n")))
+    sums = counts.groupBy("s").agg(F.sum("n").alias("have"), F.sum("over").alias("over"))
+    sums = live.select("s", "slots").join(sums, "s", "left").select("s", F.coalesce("have", F.lit(0)).alias("have"), F.coalesce("over", F.lit(0)).alias("over"), (F.col("slots") - F.coalesce("have", F.lit(0))).alias("lack"))
+    sums = written(before(sums, {"spare": "over", "gap": "lack"}))
+    spare = counts.withColumn("begin", F.coalesce(F.sum("over").over(past), F.lit(0))).where("over > 0").join(sources.few(sums.select("s", "spare")), "s")
+    spare = cells(spare.select("shard", (F.col("begin") + F.col("spare")).alias("begin"), (F.col("begin") + F.col("spare") + F.col("over")).alias("end")), "begin", "end", 1024)
+    gaps = cells(sums.where("lack > 0").select("s", "have", "gap", (F.col("gap") + F.col("lack")).alias("gap_end")), "gap", "gap_end", 1024)
+    low, high = F.greatest("begin", "gap", F.col("cell") * 1024), F.least("end", "gap_end", (F.col("cell") + 1) * 1024)
+    moved = spare.join(gaps, "cell").where(low < high).select("shard", "s", (F.col("have") + low - F.col("gap")).alias("from"), (high - low).alias("n"))
+    runs = counts.where("n > 0").select("shard", "s", "from", "n").unionByName(moved)
+    runs = runs.join(sources.few(live.select("s", "key", "words", "blocks", "whole", "rest", "slots")), "s")
     # A row of runs stands for up to a shard's slots, which Spark's size estimates can't know; the number keeps it from joining partitions.
-    slots = runs.where("n > 0").repartition(parts, "shard", "s").select("shard", "s", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("j"))
-    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("s"))
-    n_blocks = of([s.blocks(length) for s in live])
-    rest = of([round(s.target) % s.words for s in live])
-    slots = slots.select("shard", "s", of([s.key for s in live]).alias("key"), F.floor(F.col("j") / n_blocks).alias("round"), F.pmod("j", n_blocks).alias("i"), n_blocks.alias("n_blocks"), (F.col("j") == of([s.slots(length) for s in live]) - 1).alias("last"), rest.alias("rest"), of([round(s.target) // s.words for s in live]).alias("whole"))
-    block = permuted(F.col("i"), F.col("n_blocks"), [F.lit(seed), F.col("key"), F.col("round")])
-    cut = F.when(F.col("last") & (F.col("round") == F.col("whole")) & (F.col("rest") % length > 0), F.col("rest") % length).otherwise(F.lit(length))
-    return slots.select("shard", "key", "round", block.alias("block"), cut.cast("long").alias("keep"))
+    slots = runs.repartition(parts, "shard", "s").withColumn("j", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)))
+    slots = slots.withColumn("round", F.floor(F.col("j") / F.col("blocks")))
+    block = permuted(F.pmod("j", "blocks"), F.col("blocks"), [F.lit(seed), F.col("key"), F.col("round")])
+    last = (F.col("j") == F.col("slots") - 1) & (F.col("round") == F.col("whole")) & (F.col("rest") % length > 0)
+    return slots.select("shard", "key", "round", block.alias("block"), F.when(last, F.col("rest") % length).otherwise(length).cast("long").alias("keep"))
 
 
-def mixed(docs: DataFrame, length: int = 128, shard_slots: int = 65536, seed: int = 42, weights: tuple[float, ...] = (5, 2, 1), keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, list[Source]]:
+def mixed(docs: DataFrame, length: int = 128, shard_slots: int = 65536, seed: int = 42, weights: tuple[float, ...] = (5, 2, 1), keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, Sources]:
     """rows (rid, key, size, row), spans and the sources of a mix of docs(doc_id, text, source, ...).
 
     spans is the mix itself: shard, key, round, block, rid, low, high - words low to high (exclusive) of row rid stand
     in that block of that shard. A row is in a round of its source at most once, so that `most` rounds bound its words.
     Null and empty texts have no words; a null source is one of its own; repeated rows are rows of their own.
+    An empty table has no sources and no spans.
     """
     rows = measured(docs, keep or docs.columns)
-    sources = sources_of(rows, weights)
-    slots = draw(docs.sparkSession, sources, length, shard_slots, seed)
-    placed = streams(rows.select("rid", "key", "size", F.col("row.doc_id").alias("doc_id")), ["doc_id"])
+    sources = Sources(rows, length, weights)
+    placed = streams(rows.select("rid", "key", "size", "hash", F.col("row.doc_id").alias("doc_id")), ["doc_id", "hash"], sources.rows)
     blocks = pieces(placed, length)
-    spans = slots.hint("merge").join(blocks, ["key", "block"]).where("at < keep")
+    spans = draw(sources, length, shard_slots, seed).hint("merge").join(blocks, ["key", "block"]).where("at < keep")
     spans = spans.select("shard", "key", "round", "block", "rid", "low", F.least("high", F.col("low") + F.col("keep") - F.col("at")).alias("high"))
     return rows, spans, sources
 
 
-def source_table(spark, sources: list[Source]) -> DataFrame:
-    """key, source_size, target: at most MAX_SOURCES rows."""
-    rows = [F.struct(F.lit(s.key).alias("key"), F.lit(s.words).cast("long").alias("source_size"), F.lit(float(s.target)).alias("target")) for s in sources]
-    none = spark.range(0).select(F.lit("").alias("key"), F.col("id").alias("source_size"), F.lit(0.0).alias("target"))
-    return spark.range(1).select(F.inline(F.array(*rows))) if rows else none
-
-
 def taken(docs: DataFrame, **options) -> DataFrame:
     """doc_id, source, size, source_size, target, taken per row of docs: how many of its words the mix takes, repeats counted."""
     rows, spans, sources = mixed(docs.select("doc_id", "source", "text"), keep=["doc_id", "source"], **options)
     used = spans.groupBy("rid").agg(F.sum(F.col("high") - F.col("low")).alias("taken"))
     out = rows.select("rid", "key", "size", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"))
-    out = out.join(F.broadcast(source_table(docs.sparkSession, sources)), "key").join(used, "rid", "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = sources.join(out, "words", "target").join(used, "rid", "left")
+    return out.select("doc_id", "source", "size", F.col("words").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:

@@ -77,10 +77,70 @@ def test_mix_shards_cover_every_slot_once(docs):
     slots = spans.select("shard", "key", "round", "block").distinct()
     assert slots.groupBy("key", "round", "block").count().where("count > 1").count() == 0
     n = {r["key"]: r["n"] for r in slots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert n == {s.key: s.slots(32) for s in sources if s.slots(32)}
+    assert n == {r["key"]: r["slots"] for r in sources.table.collect() if r["slots"]} and sum(n.values()) == sources.slots
     assert max(r["n"] for r in slots.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()) == 100
 
 
+def test_taken_follows_the_spans_of_the_mix(docs, rows):
+    """Streams, blocks, rounds and cuts in plain Python; only where a document stands in its source's stream comes from the operator."""
+    length = 32
+    measured, spans, sources = mixing.mixed(docs.select("doc_id", "source", "text"), length=length, shard_slots=512)
+    at = defaultdict(list)
+    placed = mixing.streams(measured.select("rid", "key", "size", "hash", F.col("row.doc_id").alias("doc_id")), ["doc_id", "hash"], sources.rows).collect()
+    for r in placed:
+        at[r["key"]].append((r["begin"], r["size"], r["rid"]))
+    names = {"1" if r["source"] is None else "0" + r["source"]: r["source"] for r in rows}
+    size = Counter()
+    for r in rows:
+        size[r["source"]] += len(words(r["text"]))
+    target, want = water(size), Counter()
+    for key, own in at.items():
+        n, due, stream = size[names[key]], round(target[names[key]]), []
+        for begin, m, rid in sorted(own, key=lambda x: (x[0], x[1] > 0)):
+            assert begin == len(stream)
+            stream += [rid] * m
+        assert len(stream) == n
+        got = [(r["round"], r["block"]) for r in spans.where(F.col("key") == key).select("round", "block").distinct().collect()]
+        n_blocks = -(-n // length)
+        whole, rest = divmod(due, n) if n else (0, 0)
+        assert {g for g in got if g[0] < whole} == {(i, b) for i in range(whole) for b in range(n_blocks)}
+        assert len({b for i, b in got if i == whole}) == -(-rest // length) and all(i <= whole for i, _ in got)
+        for i, b in got:
+            for rid in stream[b * length : (b + 1) * length]:
+                want[rid] += 1
+        if rest % length:  # one block of the last round is cut, at its end
+            seen = Counter({r["rid"]: r["n"] for r in spans.where((F.col("key") == key) & (F.col("round") == whole)).groupBy("rid").agg(F.sum(F.col("high") - F.col("low")).alias("n")).collect()})
+            full = Counter(rid for i, b in got if i == whole for rid in stream[b * length : (b + 1) * length])
+            cuts = [(b, w) for i, b in got if i == whole for w in [stream[b * length : (b + 1) * length]] if full - Counter(w[rest % length :]) == seen]
+            assert cuts
+            want -= Counter(cuts[0][1][rest % length :])
+    ids = {r["rid"]: (r["row"]["doc_id"], r["row"]["source"]) for r in measured.collect()}
+    taken = mixing.taken(docs, length=length, shard_slots=512).collect()
+    assert Counter((r["doc_id"], r["source"], r["taken"]) for r in taken) == Counter((*ids[rid], want[rid]) for rid in ids)
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_mix_of_many_sources(spark, few, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW", few)
+    df = spark.range(20_000 if few else 3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("https://host"), F.col("id") % (10_001 if few else 701)).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 37).cast("int")).alias("text"))
+    df = df.unionByName(spark.range(500).select((F.col("id") + 100_000).alias("doc_id"), F.lit("big").alias("source"), F.repeat(F.lit("x "), 50).alias("text")))
+    got = mixing.taken(df, length=8, shard_slots=1000).collect()
+    size, taken = Counter(), Counter()
+    for r in got:
+        size[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        assert r["taken"] <= 3 * r["size"]
+    target = water(size)
+    assert len(size) == (10_002 if few else 702) and all(abs(taken[s] - t) <= 8 for s, t in target.items())
+    assert all(r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == size[r["source"]] for r in got)
+
+
+def test_few_and_many_sources_give_one_mix(docs, monkeypatch):
+    few = mixing.taken(docs, length=32, shard_slots=512).collect()
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert multiset(few) == multiset(mixing.taken(docs, length=32, shard_slots=512).collect())
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 17, 1000])
 def test_permutation(spark, size):
     got = spark.range(size).select(mixing.permuted(F.col("id"), F.lit(size), [F.lit(7)]).alias("p")).collect()
