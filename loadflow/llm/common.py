@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loadflow.sources.shared import written
 
-__all__ = ["SPACE", "WORD", "count_words", "cut", "hot_join", "let", "running", "text_id", "words_of", "written"]
+__all__ = ["SPACE", "WORD", "before", "count_words", "cut", "hot_join", "let", "running", "text_id", "words_of", "written"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,6 +66,20 @@ def cut(text: Column, pieces: Column) -> Column:
     return F.when(F.size(pieces) > 0, let(pieces, lambda p: let(root(p), lambda size: F.flatten(groups(p, size))))).otherwise(F.expr("cast(array() as array<string>)"))
 
 
+def before(df: DataFrame, sums: dict[str, str], most: int) -> DataFrame:
+    """df(s, ...) with, per entry of sums, the sum of a column over all rows with a smaller s. s numbers the rows, below `most`.
+
+    Prefix sums inside groups of about root `most` numbers, and over the groups.
+    """
+    df = df.withColumn("_g", F.shiftright("s", most.bit_length() // 2 + 1))
+    groups = df.groupBy("_g").agg(*[F.sum(c).alias(f"_{out}") for out, c in sums.items()])
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("_g", *[F.coalesce(F.sum(f"_{out}").over(past(Window.orderBy("_g"))), F.lit(0)).alias(f"_{out}") for out in sums])
+    inside = past(Window.partitionBy("_g").orderBy("s"))
+    df = df.withColumns({out: F.coalesce(F.sum(c).over(inside), F.lit(0)) for out, c in sums.items()}).join(groups, "_g")
+    return df.withColumns({out: F.col(out) + F.col(f"_{out}") for out in sums}).drop("_g", *[f"_{out}" for out in sums])
+
+
 def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """rows LEFT JOIN table on keys that are unique in table, whatever the skew of rows.
 

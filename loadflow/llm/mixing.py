@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loadflow.llm.common import count_words, hot_join, words_of, written
+from loadflow.llm.common import before, count_words, hot_join, words_of, written
 from loadflow.operators.ordered import row_numbers
 
 #: Up to so many sources are broadcast (and at most 4096 rows more); beyond, they are joined by shuffles.
@@ -28,20 +28,6 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def before(df: DataFrame, sums: dict[str, str]) -> DataFrame:
-    """df(s, ...) with, per entry of sums, the sum of a column over all rows with a smaller s. s numbers the rows.
-
-    Prefix sums inside groups of 4096 rows, and over the groups.
-    """
-    df = df.withColumn("_g", F.shiftright("s", 12))
-    groups = df.groupBy("_g").agg(*[F.sum(c).alias(f"_{out}") for out, c in sums.items()])
-    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select("_g", *[F.coalesce(F.sum(f"_{out}").over(past(Window.orderBy("_g"))), F.lit(0)).alias(f"_{out}") for out in sums])
-    inside = past(Window.partitionBy("_g").orderBy("s"))
-    df = df.withColumns({out: F.coalesce(F.sum(c).over(inside), F.lit(0)) for out, c in sums.items()}).join(groups, "_g")
-    return df.withColumns({out: F.col(out) + F.col(f"_{out}") for out in sums}).drop("_g", *[f"_{out}" for out in sums])
-
-
 class Sources:
     """The table of sources: s (numbers from 0 in order of keys), key, n (rows), words, target, and the slots of a mix:
     whole rounds over all blocks, then as many blocks as the rest needs, the last one cut to fit.
@@ -136,7 +122,7 @@ def draw(sources: Sources, length: int, shard_slots: int, seed: int) -> DataFram
     interval it falls, found by an equality join on cells of the numbers. Counts per (shard, source) are all that is ordered.
     """
     total, spark = sources.slots, sources.table.sparkSession
-    live = written(before(sources.table.where("slots > 0"), {"first": "slots"}))
+    live = written(before(sources.table.where("slots > 0"), {"first": "slots"}, sources.count))
     parts = max(spark.sparkContext.defaultParallelism, -(-total // 4_000_000))
     width = max(1, -(-total // 4096)) if sources.count <= FEW else 256
     edges = cells(live.select("s", "first", (F.col("first") + F.col("slots")).alias("behind")), "first", "behind", width)
@@ -150,7 +136,7 @@ def draw(sources: Sources, length: int, shard_slots: int, seed: int) -> DataFram
     # What sources drew beyond their quotas, in order of (source, shard), fills what others lack, in order of source.
     sums = counts.groupBy("s").agg(F.sum("n").alias("have"), F.sum("over").alias("over"))
     sums = live.select("s", "slots").join(sums, "s", "left").select("s", F.coalesce("have", F.lit(0)).alias("have"), F.coalesce("over", F.lit(0)).alias("over"), (F.col("slots") - F.coalesce("have", F.lit(0))).alias("lack"))
-    sums = written(before(sums, {"spare": "over", "gap": "lack"}))
+    sums = written(before(sums, {"spare": "over", "gap": "lack"}, sources.count))
     spare = counts.withColumn("begin", F.coalesce(F.sum("over").over(past), F.lit(0))).where("over > 0").join(sources.few(sums.select("s", "spare")), "s")
     spare = cells(spare.select("shard", (F.col("begin") + F.col("spare")).alias("begin"), (F.col("begin") + F.col("spare") + F.col("over")).alias("end")), "begin", "end", 1024)
     gaps = cells(sums.where("lack > 0").select("s", "have", "gap", (F.col("gap") + F.col("lack")).alias("gap_end")), "gap", "gap_end", 1024)

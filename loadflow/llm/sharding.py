@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loadflow.llm.common import written
+from loadflow.llm.common import before, written
 
-#: A cell's rows are dealt by a hash of the id to this many fine cells, so that a hot cell isn't one window.
-FINE = 256
+#: A cell's rows are dealt by a hash to fine cells of about so many rows, so that a hot cell isn't one window.
+IN_FINE = 100_000
 
 
 def curve_table(n: int) -> list[int]:
@@ -90,7 +90,7 @@ def shard(docs: DataFrame, n_shards: int = 8, law: str = "rows", dimensions: tup
     """Per row of docs the struct `row` of its columns in keep (doc_id), size, text_crc32, cell, shard and slot (gapless from 0 in each shard).
 
     size is the text's UTF-8 bytes (none for null) plus 1. law "rows": row counts differ by one at most; "bytes": runs
-    end where the sum of sizes passes a shard's part. The size is a dimension besides those named. Null values count as the least of their dimension; repeated rows are placed side by side, each on its own.
+    end where the sum of sizes passes a shard's part. The size is a dimension besides those named. Null values count as the least of their dimension; repeated rows are placed each on its own.
     An empty table gives no rows.
     """
     if law not in ("rows", "bytes"):
@@ -108,18 +108,18 @@ def shard(docs: DataFrame, n_shards: int = 8, law: str = "rows", dimensions: tup
     n, total = ends["n"], ends["bytes"]
 
     rows = rows.withColumn("cell", curve_index([cells_of(rows, d, n, bits) for d in dims], bits))
-    rows = rows.withColumn("fine", F.col("cell").cast("long") * FINE + F.pmod(F.xxhash64("id"), F.lit(FINE)))
-    # First places: over groups of 4096 fine cells, over the fine cells of a group, over the rows of a fine cell.
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    fine = rows.groupBy("fine").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).withColumn("coarse", F.shiftright("fine", 12))
-    coarse = fine.groupBy("coarse").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    w = before(Window.orderBy("coarse"))
-    coarse = coarse.select("coarse", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n0"), F.coalesce(F.sum("b").over(w), F.lit(0)).alias("b0"))
-    w = before(Window.partitionBy("coarse").orderBy("fine"))
-    first = fine.withColumn("n1", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("b1", F.coalesce(F.sum("b").over(w), F.lit(0))).join(coarse, "coarse")
-    first = first.select("fine", (F.col("n0") + F.col("n1")).alias("n0"), (F.col("b0") + F.col("b1")).alias("b0"))
-    w = Window.partitionBy("fine").orderBy("id", "size", "text_crc32", "rid")
-    placed = rows.withColumn("k", F.row_number().over(w) - 1).withColumn("b", F.coalesce(F.sum("size").over(before(w)), F.lit(0))).join(first, "fine")
+    # First places: over the cells, over the fine cells of a cell, over the rows of a fine cell.
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    cells = written(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"), F.floor(F.count(F.lit(1)) / IN_FINE).alias("parts")))
+    rows = rows.join(F.broadcast(cells.where("parts > 0").select("cell", "parts")), "cell", "left")  # n / IN_FINE rows at most, and as many as cells
+    rows = rows.withColumn("fine", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rid"), F.col("parts") + 1))).drop("parts")
+    first = before(cells.withColumnRenamed("cell", "s"), {"n0": "n", "b0": "b"}, 1 << bits * len(dims)).select(F.col("s").alias("cell"), "n0", "b0")
+    fine = rows.groupBy("cell", "fine").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
+    w = past(Window.partitionBy("cell").orderBy("fine"))
+    first = fine.withColumn("n1", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("b1", F.coalesce(F.sum("b").over(w), F.lit(0))).join(first, "cell")
+    first = first.select("cell", "fine", (F.col("n0") + F.col("n1")).alias("n0"), (F.col("b0") + F.col("b1")).alias("b0"))
+    w = Window.partitionBy("cell", "fine").orderBy("id", "size", "text_crc32", "rid")
+    placed = rows.withColumn("k", F.row_number().over(w) - 1).withColumn("b", F.coalesce(F.sum("size").over(past(w)), F.lit(0))).join(first, ["cell", "fine"])
     placed = placed.withColumn("place", F.col("n0") + F.col("k")).withColumn("at", F.col("b0") + F.col("b"))
     s = F.lit(n_shards).cast("long")
     if law == "rows":

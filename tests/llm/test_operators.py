@@ -280,6 +280,40 @@ def test_curve_steps_to_neighbours(spark, n, bits):
     assert set(np.abs(np.diff(points, axis=0)).sum(axis=1)) == {1}
 
 
+def test_rows_follow_the_curve(spark, docs, rows):
+    """Cells by counting, and the place of each cell on the curve; the order of shards and slots is that of the curve."""
+    got = sharding.shard(docs, 5, keep=["doc_id", "source", "lang", "text"]).collect()
+    values = {(r["doc_id"], r["source"], r["lang"], r["text"]): None for r in rows}
+    dims = [[v[1] and v[1].encode() for v in values], [v[2] and v[2].encode() for v in values], [v[0] for v in values], [len((v[3] or "").encode()) + 1 for v in values]]
+    every = [[f(r) for r in rows] for f in (lambda r: r["source"] and r["source"].encode(), lambda r: r["lang"] and r["lang"].encode(), lambda r: r["doc_id"], lambda r: len((r["text"] or "").encode()) + 1)]
+    where = {}
+    for k, v in enumerate(values):
+        where[v] = tuple(0 if d[k] is None else (2 * sum(x is None or x < d[k] for x in e) + sum(x == d[k] for x in e)) * 16 // (2 * len(rows)) for d, e in zip(dims, every))
+    grid = spark.range(1 << 16).select(*[F.shiftright("id", 4 * i).bitwiseAND(F.lit(15)).cast("int").alias(f"p{i}") for i in range(4)])
+    index = {(r["p0"], r["p1"], r["p2"], r["p3"]): r["h"] for r in grid.withColumn("h", sharding.curve_index([F.col(f"p{i}") for i in range(4)], 4)).collect()}
+    path = np.array([p for p, _ in sorted(index.items(), key=lambda x: x[1])])
+    assert set(np.abs(np.diff(path, axis=0)).sum(axis=1)) == {1}
+    for r in got:
+        x = r["row"]
+        assert r["cell"] == index[where[x["doc_id"], x["source"], x["lang"], x["text"]]]
+    along = [r["cell"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert along == sorted(along)
+
+
+@pytest.mark.parametrize("law", ["rows", "bytes"])
+def test_hot_cells_are_split(spark, law, monkeypatch):
+    monkeypatch.setattr(sharding, "IN_FINE", 50)
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, None).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("source"), F.lit("en").alias("lang"), F.lit("one text").alias("text"))
+    got = sharding.shard(df, 7, law).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 3000 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    along = [r["cell"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert along == sorted(along)
+
+
 def test_common_starts_and_outliers_still_spread(spark):
     data = [(i if i else 10**15, f"https://common.example.org/{(i * 7) % 64:02d}", None if i % 64 == 0 else "en", "same") for i in range(2048)]
     df = spark.createDataFrame(data, "doc_id long, source string, lang string, text string")
