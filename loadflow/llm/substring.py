@@ -7,7 +7,9 @@ compared over the whole corpus, which gives the maximal exact repeats and the sm
 
 Documents travel in compressed chunks. Keys leave a chunk once each, sorted and delta-coded, with a flag
 for anchors and for keys of several documents: a passage that a third of all documents hold costs one key a chunk. Key
-ranges are reduced in tasks of bounded size, and answers go back to chunks as bitmaps and arrays in key order.
+ranges are reduced in tasks of bounded size, and answers go back to chunks in key order. Where there would be many ranges, a chunk
+gives a fixed number of coarse ones, chunks are merged range by range, and what is merged is cut into finer ranges, so that the
+number of rows follows the number of words.
 """
 
 from __future__ import annotations
@@ -26,8 +28,7 @@ from pyspark.sql import functions as F
 from loadflow.llm.common import written
 
 BLOCK, REPEAT = 7, 13
-#: Bits of an anchor's key; the 13-word windows that decide have 64.
-KEY_BITS = 40
+PIECE = "source long, part long, keys binary, low binary, value binary"
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -48,20 +49,22 @@ def undeltas(raw: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(raw), dtype=np.uint64)
 
 
-def rolling(h: np.ndarray, k: int) -> np.ndarray:
+def rolling(h: np.ndarray, k: int, by: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """A 64-bit hash of each k consecutive word hashes."""
     n = max(0, len(h) - k + 1)
     out = np.zeros(n, np.uint64)
     for j in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+        out = out * np.uint64(by) + h[j : j + n]
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     return out ^ (out >> np.uint64(32))
 
 
-def groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def groups(*sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each run of equal keys begins, and the run's number for every key."""
-    new = np.r_[True, sorted_keys[1:] != sorted_keys[:-1]] if len(sorted_keys) else np.empty(0, bool)
+    if not len(sorted_keys[0]):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    new = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])]
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
@@ -91,21 +94,22 @@ class Chunk:
         n = max(0, len(d) - k + 1)
         return (d[:n] == d[k - 1 : k - 1 + n]) & self.known[d[:n]] if n else np.empty(0, bool)
 
-    def anchors(self) -> None:
-        """Distinct keys in order; per key whether it is an anchor's, and whether several documents have it; places by key."""
+    def anchors(self, bits: int) -> None:
+        """Distinct keys in order; per key the flags 1, if it is an anchor's, and 2, if several documents have it; places by key."""
         at = np.flatnonzero(self.inside(BLOCK))
-        keys = rolling(self.hashes, BLOCK)[at] >> np.uint64(64 - KEY_BITS)
+        keys = rolling(self.hashes, BLOCK)[at] >> np.uint64(64 - bits)
         order = np.argsort(keys, kind="stable")
         self.at, keys, doc = at[order], keys[order], self.doc[at[order]]
         first, self.run = groups(keys)
         self.keys = keys[first]
         last = np.r_[first[1:], len(keys)] - 1
-        self.several = doc[first] != doc[last] if len(first) else np.empty(0, bool)
-        aligned = (self.at - self.first[doc]) % BLOCK == 0 if len(first) else np.empty(0, bool)
-        self.anchor = np.logical_or.reduceat(aligned, first) if len(first) else np.empty(0, bool)
+        self.flags = np.empty(0, np.int64)
+        if len(first):
+            anchor = np.logical_or.reduceat((self.at - self.first[doc]) % BLOCK == 0, first)
+            self.flags = anchor.astype(np.int64) + 2 * (doc[first] != doc[last])
 
     def candidates(self, hit: np.ndarray) -> None:
-        """The 13-word windows that hold a hit: places, distinct hashes in order, the least id for each, places by hash."""
+        """The 13-word windows that hold a hit: places, distinct 128-bit hashes in order, the least id for each, places by hash."""
         n = len(self.words)
         places = np.zeros(n + 1, np.int64)
         places[self.at[hit[self.run]] + 1] = 1
@@ -114,11 +118,11 @@ class Chunk:
         start = np.arange(len(whole))
         wanted = whole & (count[start + REPEAT - BLOCK + 1] > count[start])
         start = np.flatnonzero(wanted)
-        keys = rolling(self.hashes, REPEAT)[start]
-        order = np.argsort(keys, kind="stable")
-        self.start, keys = start[order], keys[order]
-        first, self.run13 = groups(keys)
-        self.keys13 = keys[first]
+        keys, low = rolling(self.hashes, REPEAT)[start], rolling(self.hashes, REPEAT, 0xC2B2AE3D27D4EB4F)[start]
+        order = np.lexsort((low, keys))
+        self.start, keys, low = start[order], keys[order], low[order]
+        first, self.run13 = groups(keys, low)
+        self.keys13, self.low13 = keys[first], low[first]
         ids = self.ids[self.doc[self.start]]
         self.least = np.minimum.reduceat(ids, first) if len(first) else np.empty(0, np.int64)
 
@@ -136,10 +140,67 @@ class Chunk:
             yield int(self.ids[i]) if self.known[i] else None, int(b - a), int(b - a - len(words)), hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def bounds(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    """Where each of `parts` equal key ranges begins and ends in sorted keys."""
-    edges = np.array([min(-(-(i << bits) // parts), (1 << 64) - 1) for i in range(1, parts)], np.uint64)
-    return np.r_[0, np.searchsorted(keys, edges), len(keys)]
+def pieces(source: int, keys: np.ndarray, low: np.ndarray, value: np.ndarray, bits: int, n: int, begin: int = 0, end: int | None = None) -> list[tuple]:
+    """Rows (source, part, keys, low, value) of sorted keys: the key space is cut into n ranges, of which begin to end may hold keys."""
+    end = n if end is None else end
+    edges = np.array([min(-(-(i << bits) // n), (1 << 64) - 1) for i in range(begin + 1, end)], np.uint64)
+    at = np.r_[0, np.searchsorted(keys, edges), len(keys)].tolist()
+    return [(source, begin + i, deltas(keys[a:b]), squeeze(low[a:b]), squeeze(value[a:b].view(np.uint64))) for i, (a, b) in enumerate(zip(at, at[1:], strict=False)) if a < b]
+
+
+def batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["source", "part", "keys", "low", "value"])
+
+
+def merged(g: pd.DataFrame, flags: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct keys of some pieces in order, with one value each, and per piece the numbers of its keys among them.
+
+    Flags are joined, and a key of several pieces is one of several documents; of other values the least counts.
+    """
+    keys, low, value = [undeltas(x) for x in g["keys"]], [unsqueeze(x) for x in g["low"]], [unsqueeze(x).view(np.int64) for x in g["value"]]
+    sizes = np.cumsum([len(k) for k in keys])[:-1]
+    keys, low, value = np.concatenate(keys), np.concatenate(low), np.concatenate(value)
+    order = np.argsort(keys, kind="stable") if flags else np.lexsort((low, keys))
+    first, run = groups(keys[order]) if flags else groups(keys[order], low[order])
+    joined = (np.bitwise_or if flags else np.minimum).reduceat(value[order], first)
+    if flags:
+        joined |= 2 * (np.diff(np.r_[first, len(keys)]) > 1)
+    at = np.empty(len(order), np.int64)
+    at[order] = run
+    return keys[order][first], low[order][first], joined, np.split(at, sizes)
+
+
+def exchange(found: DataFrame, bits: int, n_sources: int, n: int, cuts: list[int], fan: int, flags: bool) -> DataFrame:
+    """source, part, answer for each piece of found: the values of its keys over all sources, in order of its keys.
+
+    The pieces' parts are n ranges of the keys. cuts: into how many finer ones they are still to be cut, step by step. In each step
+    some `fan` sources are merged range by range, and cut; the answers to what was merged are then dealt to the sources.
+    """
+
+    def answers(g: pd.DataFrame, value: np.ndarray, at: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"source": g["source"], "part": g["part"], "answer": [squeeze(value[x].view(np.uint64)) for x in at]})
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        _, _, value, at = merged(g, flags)
+        return answers(g, value, at)
+
+    def finer(g: pd.DataFrame) -> pd.DataFrame:
+        keys, low, value, _ = merged(g, flags)
+        part = int(g["part"].iat[0])
+        return pd.DataFrame(pieces(int(g["team"].iat[0]), keys, low, value, bits, n * cuts[0], part * cuts[0], (part + 1) * cuts[0]), columns=["source", "part", "keys", "low", "value"])
+
+    def deal(g: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        return answers(g, np.concatenate([unsqueeze(x).view(np.int64) for x in a.sort_values("fine")["answer"]]), merged(g, flags)[3])
+
+    out = "source long, part long, answer binary"
+    if not cuts:
+        return found.groupBy("part").applyInPandas(meet, out)
+    teams = -(-n_sources // fan)
+    found = written(found.withColumn("team", F.pmod(F.xxhash64("source"), F.lit(teams))))
+    got = exchange(found.groupBy("part", "team").applyInPandas(finer, PIECE), bits, teams, n * cuts[0], cuts[1:], fan, flags)
+    got = got.select(F.floor(F.col("part") / cuts[0]).alias("part"), F.col("source").alias("team"), F.col("part").alias("fine"), "answer")
+    return found.groupBy("part", "team").cogroup(got.groupBy("part", "team")).applyInPandas(deal, out)
 
 
 def to_chunks(docs: DataFrame, words_in_chunk: int) -> DataFrame:
@@ -166,95 +227,64 @@ def to_chunks(docs: DataFrame, words_in_chunk: int) -> DataFrame:
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "blob binary, n_words long"), row_id="chunk")
 
 
-def answers(df: DataFrame) -> DataFrame:
+def by_source(df: DataFrame) -> DataFrame:
     """Per chunk its answers in order of key ranges."""
-    return df.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "answer"))).alias("a"))
+    return df.groupBy(F.col("source").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("part", "answer"))).alias("a"))
+
 
+def whole(answers: list[dict] | None) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *(unsqueeze(x["answer"]).view(np.int64) for x in answers or [])])
 
-def dedup(docs: DataFrame, words_in_chunk: int = 1_000_000, keys_in_part: int = 4_000_000) -> DataFrame:
+
+def dedup(docs: DataFrame, words_in_chunk: int = 1_000_000, keys_in_part: int = 4_000_000, fan: int = 256) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per row of docs(doc_id, text).
 
     A word goes if a window of 13 words that covers it also starts in a row with a smaller doc_id; all is judged on the
-    input. Null and empty texts have no words. Rows without an id neither remove nor lose words. Rows
+    input, by 128 bits of a window. Null and empty texts have no words. Rows without an id neither remove nor lose words. Rows
     that share an id are one document to others, and don't remove from each other. Other columns have no influence.
+    An empty table gives no rows.
     """
     chunks = to_chunks(docs, words_in_chunk)
-    parts = max(1, -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // keys_in_part))
+    size = chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
+    bits = min(64, max(40, size["words"].bit_length() + 13))  # a false hit on an anchor only adds a candidate
+    first, cuts = max(1, -(-size["words"] // keys_in_part)), []
+    if first > fan:
+        first, left = fan, -(-first // fan)
+        while left > 1:
+            cuts.append(min(left, fan))
+            left = -(-left // fan)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 c = Chunk(blob.as_py())
-                c.anchors()
-                edge = bounds(c.keys, KEY_BITS, parts)
-                some = [p for p in range(parts) if edge[p] < edge[p + 1]]
-                cut = [slice(edge[p], edge[p + 1]) for p in some]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([deltas(c.keys[s]) for s in cut], pa.binary()),
-                        pa.array([np.packbits(c.anchor[s]).tobytes() for s in cut], pa.binary()), pa.array([np.packbits(c.several[s]).tobytes() for s in cut], pa.binary()),
-                    ],
-                    ["chunk", "part", "keys", "anchor", "several"],
-                )
+                c.anchors(bits)
+                if rows := pieces(chunk, c.keys, np.zeros_like(c.keys), c.flags, bits, first):
+                    yield batch(rows)
 
-    def meet(g: pd.DataFrame) -> pd.DataFrame:
-        keys = [undeltas(x) for x in g["keys"]]
-        n = np.cumsum([len(k) for k in keys])
-        flags = lambda name: np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(g[name], keys, strict=True)])
-        allkeys = np.concatenate(keys)
-        order = np.argsort(allkeys, kind="stable")
-        first, run = groups(allkeys[order])
-        docs_of = np.add.reduceat(1 + flags("several")[order].astype(np.int64), first)
-        hit = (docs_of > 1) & np.logical_or.reduceat(flags("anchor")[order], first)
-        back = np.empty(len(order), bool)
-        back[order] = hit[run]
-        return pd.DataFrame({"chunk": g["chunk"], "part": g["part"], "answer": [np.packbits(x).tobytes() for x in np.split(back, n[:-1])]})
-
-    found = chunks.select("chunk", "blob").mapInArrow(probes, "chunk long, part int, keys binary, anchor binary, several binary")
-    hits = written(answers(found.groupBy("part").applyInPandas(meet, "chunk long, part int, answer binary")))
+    found = chunks.select("chunk", "blob").mapInArrow(probes, PIECE)
+    hits = written(by_source(exchange(found, bits, size["n"], first, cuts, fan, True)))
 
     def hit_chunk(blob: bytes, a: list[dict] | None) -> Chunk:
         c = Chunk(blob)
-        c.anchors()
-        edge = bounds(c.keys, KEY_BITS, parts)
-        hit = np.zeros(len(c.keys), bool)
-        for x in a or []:
-            lo, hi = edge[x["part"]], edge[x["part"] + 1]
-            hit[lo:hi] = np.unpackbits(np.frombuffer(x["answer"], np.uint8), count=hi - lo).astype(bool)
-        c.candidates(hit)
+        c.anchors(bits)
+        c.candidates(whole(a) == 3)
         return c
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, blob, a in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 c = hit_chunk(blob.as_py(), a.as_py())
-                edge = bounds(c.keys13, 64, parts)
-                some = [p for p in range(parts) if edge[p] < edge[p + 1]]
-                cut = [slice(edge[p], edge[p + 1]) for p in some]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([deltas(c.keys13[s]) for s in cut], pa.binary()), pa.array([squeeze(c.least[s].view(np.uint64)) for s in cut], pa.binary())],
-                    ["chunk", "part", "keys", "least"],
-                )
-
-    def smallest(g: pd.DataFrame) -> pd.DataFrame:
-        keys = [undeltas(x) for x in g["keys"]]
-        n = np.cumsum([len(k) for k in keys])
-        allkeys, least = np.concatenate(keys), np.concatenate([unsqueeze(x).view(np.int64) for x in g["least"]])
-        order = np.argsort(allkeys, kind="stable")
-        first, run = groups(allkeys[order])
-        back = np.empty(len(order), np.int64)
-        back[order] = np.minimum.reduceat(least[order], first)[run]
-        return pd.DataFrame({"chunk": g["chunk"], "part": g["part"], "answer": [squeeze(x.view(np.uint64)) for x in np.split(back, n[:-1])]})
-
-    found = chunks.select("chunk", "blob").join(hits, "chunk").mapInArrow(windows, "chunk long, part int, keys binary, least binary")
-    least = written(answers(found.groupBy("part").applyInPandas(smallest, "chunk long, part int, answer binary")))
+                if rows := pieces(chunk, c.keys13, c.low13, c.least, 64, first):
+                    yield batch(rows)
+
+    found = chunks.select("chunk", "blob").join(hits, "chunk").mapInArrow(windows, PIECE)
+    least = written(by_source(exchange(found, 64, size["n"], first, cuts, fan, False)))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob, a, m in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                c = hit_chunk(blob.as_py(), a.as_py())
-                own = [unsqueeze(x["answer"]).view(np.int64) for x in m.as_py() or []]
-                rows = list(c.rows(np.concatenate(own) if own else np.empty(0, np.int64)))
+                rows = list(hit_chunk(blob.as_py(), a.as_py()).rows(whole(m.as_py())))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     both = chunks.select("chunk", "blob").join(hits, "chunk", "left").join(least.withColumnRenamed("a", "m"), "chunk", "left")
