@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadflow.llm.common import SPACE, count_words, hot_join, words_of, written
+from loadflow.llm.common import SPACE, count_words, hot_join, let, running, text_id, words_of, written
 
 #: Words in a window that may not repeat too often within a document.
 WINDOW = 5
@@ -44,7 +44,7 @@ def measured(docs: DataFrame, host_col: str, keep: list[str]) -> DataFrame:
     df = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
         F.when(F.col(host_col).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(host_col))).alias("host"),
-        F.xxhash64(text, F.length(text)).alias("text_id"),
+        text_id(text).alias("text_id"),
         text.alias("t"),
         words_of(text).alias("w"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("l"),
@@ -58,30 +58,67 @@ def measured(docs: DataFrame, host_col: str, keep: list[str]) -> DataFrame:
     )
 
 
-def judge(
-    docs: DataFrame, host_col: str = "source", min_docs: int = 20, max_share: float = 0.05, min_words: int = 5, max_removed: float = 0.8, keep: list[str] | None = None
-) -> DataFrame:
-    """docs' columns in keep (doc_id), base counts, base_failed, n_removed (words in boilerplate lines), kept.
-
-    A line is boilerplate for a host if more than min_docs of the host's distinct documents and more than max_share of
-    them have it. A document is depleted, and not kept, if fewer than min_words words are left or more than
-    max_removed of its words went. A null host is one host; null and empty texts have no words and fail the base
-    rule. Repeated rows each get the same result.
-    """
-    keep = keep or ["doc_id"]
+def judged(docs: DataFrame, host_col: str, min_docs: int, max_share: float, max_docs: int, min_words: int, max_removed: float, keep: list[str], with_lines: bool) -> DataFrame:
+    """Per row of docs its columns in keep as `row`, the base counts, base_failed, n_removed, kept; with_lines: also gone, the hashes of its boilerplate lines."""
     rows = written(measured(docs, host_col, keep))
     texts = written(rows.groupBy("host", "text_id").agg(F.first("lines").alias("lines"), F.count(F.lit(1)).alias("copies")))
     each = texts.select("host", "text_id", F.explode("lines").alias("x")).groupBy("host", "text_id", F.col("x.h").alias("h")).agg(F.sum("x.n").alias("n"))
     each = written(each)
     hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("in_host"))
     often = each.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > min_docs)
-    often = written(often.join(hosts, "host").where(F.col("docs") > F.col("in_host") * max_share).select("host", "h", "docs", F.lit(True).alias("gone")))
-    lost = hot_join(each, often, ["host", "h"], "docs", max(1, each.count())).where("gone").groupBy("host", "text_id").agg(F.sum("n").alias("n_removed"))
+    limit = F.least(F.col("in_host") * max_share, F.lit(float(max_docs)))
+    often = written(often.join(hosts, "host").where(F.col("docs") > limit).select("host", "h", "docs", F.lit(True).alias("gone")))
+    lost = hot_join(each, often, ["host", "h"], "docs", max(1, each.count())).where("gone").groupBy("host", "text_id")
+    lost = lost.agg(F.sum("n").alias("n_removed"), *([F.collect_list("h").alias("gone")] if with_lines else []))  # of one text's lines
     lost = written(texts.select("host", "text_id", "copies").join(lost, ["host", "text_id"]))
     out = hot_join(rows.drop("lines"), lost, ["host", "text_id"], "copies", max(1, rows.count())).withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = (F.col("n_words") - F.col("n_removed") < min_words) | (F.col("n_removed") > F.col("n_words") * max_removed)
-    return out.select(
-        *[F.col(f"row.`{c}`").alias(c) for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), "n_removed", (~failed & ~depleted).alias("kept"),
-    )
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
+
+
+def judge(
+    docs: DataFrame, host_col: str = "source", min_docs: int = 20, max_share: float = 0.05, max_docs: int = 1000, min_words: int = 5, max_removed: float = 0.8, keep: list[str] | None = None
+) -> DataFrame:
+    """docs' columns in keep (doc_id), base counts, base_failed, n_removed (words in boilerplate lines), kept.
+
+    A line is boilerplate for a host if more than min_docs of the host's distinct documents have it, and more than max_share
+    of them or than max_docs. A document is depleted, and not kept, if fewer than min_words words are left or more than
+    max_removed of its words went. A null host is one host; null and empty texts have no words and fail the base
+    rule. Repeated rows each get the same result.
+    """
+    keep = keep or ["doc_id"]
+    out = judged(docs, host_col, min_docs, max_share, max_docs, min_words, max_removed, keep, False)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed", "kept"]
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *counts)
+
+
+def without(text: Column, gone: Column) -> Column:
+    """The text without those lines (with a word) whose hashes are in gone.
+
+    The hashes of all lines and those in gone are sorted together, each line behind its hash in gone; so that it needs no search a line.
+    """
+    lines = F.split(text, "\n")
+    event = lambda h, at, own: F.struct(h.alias("h"), at.alias("at"), own.alias("own"))
+
+    def cleaned(own: Column) -> Column:
+        marks = F.transform(gone, lambda h: event(h, F.lit(-1), h))
+        places = F.transform(own, lambda x, i: event(F.when(x.rlike(r"[^\x20\x09-\x0D]"), line_hash(x)), i, F.lit(None).cast("long")))
+        return let(F.sort_array(F.concat(marks, places)), lambda e: let(running(F.transform(e, lambda x: x["own"]), F.greatest), lambda last: joined(own, e, last)))
+
+    def joined(own: Column, events: Column, last: Column) -> Column:
+        left = F.filter(F.arrays_zip(F.transform(events, lambda x: x["at"]), F.zip_with(events, last, lambda x, g: F.coalesce(x["h"] == g, F.lit(False)))), lambda x: (x["0"] >= 0) & ~x["1"])
+        return F.array_join(F.transform(F.sort_array(F.transform(left, lambda x: x["0"])), lambda i: F.get(own, i)), "\n")
+
+    return let(lines, cleaned)
+
+
+def clean(docs: DataFrame, host_col: str = "source", min_docs: int = 20, max_share: float = 0.05, max_docs: int = 1000, min_words: int = 5, max_removed: float = 0.8) -> DataFrame:
+    """The documents that judge keeps, in docs' columns, without their boilerplate lines. n_chars follows the text."""
+    cols = docs.columns
+    out = judged(docs, host_col, min_docs, max_share, max_docs, min_words, max_removed, cols, True).where("kept")
+    out = out.withColumn("_text", F.when(F.size("gone") > 0, without(F.col("row.text"), F.col("gone"))))
+    pick = {"text": F.coalesce("_text", F.col("row.text"))}
+    if "n_chars" in cols:
+        pick["n_chars"] = F.when(F.col("_text").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("row.n_chars"))
+    return out.select(*[pick.get(c, F.col(f"row.`{c}`")).alias(c) for c in cols])

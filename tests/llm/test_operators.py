@@ -370,6 +370,33 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
     assert line_rules.judge(df.where("false")).count() == 0
 
 
+def test_cleaned_texts(spark):
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    own = lambda i: " ".join(f"u{letters(i)}v{letters(k)}" for k in range(20))
+    foot = "All rights   reserved 7 forever and ever ok"
+    data = [(i, f"\n{foot}\n{own(i)}\n\nx{letters(i)}\n{foot.upper()}\n", "a", 5) for i in range(40)] + [(50, f"{own(50)}\n{foot}", "b", 5), (51, f"{foot}\n{foot}\nfew own words here ok", "a", 5), (52, None, "a", 5), (53, f"{own(53)} é\nend", "a", 7)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in line_rules.clean(df).collect()}
+    kept = {r["doc_id"] for r in line_rules.judge(df).where("kept").collect()}
+    assert set(got) == kept == {*range(40), 50, 53}
+    for i in range(40):
+        text = f"\n{own(i)}\n\nx{letters(i)}\n"
+        assert got[i]["text"] == text and got[i]["n_chars"] == len(text)
+    assert got[50]["text"] == f"{own(50)}\n{foot}" and got[53]["text"] == f"{own(53)} é\nend" and got[53]["n_chars"] == 7
+    assert line_rules.clean(df).columns == df.columns and line_rules.clean(df.where("false")).count() == 0
+
+
+def test_limits_of_lines(spark):
+    """More than min_docs, and more than max_share or max_docs: whichever of the last two a host's size reaches first."""
+    data = [(i, "\n".join([f"own {chr(97 + i % 26)}{chr(97 + i // 26)} " + "v " * 3 + "end of it all", *[f"line {w} of this page here" for w, n in (("p", 60), ("q", 25), ("r", 15)) if i < n]]), "a") for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    removed = lambda **o: Counter(r["n_removed"] for r in line_rules.judge(df, **o).collect())
+    assert removed() == Counter({0: 240, 6: 35, 12: 25})  # a share of 15 documents is below 20
+    assert removed(max_share=0.1) == Counter({0: 240, 6: 60})
+    assert removed(max_share=0.5, max_docs=40) == Counter({0: 240, 6: 60})
+    assert removed(max_share=0.5) == Counter({0: 300})
+
+
 # Top k
 
 
@@ -444,9 +471,9 @@ def brute_substrings(rows, k=13):
     return out
 
 
-@pytest.mark.parametrize(("chunk", "part"), [(1_000_000, 4_000_000), (3000, 5000)])
-def test_substrings(docs, rows, chunk, part):
-    got = substring.dedup(docs, words_in_chunk=chunk, keys_in_part=part).collect()
+@pytest.mark.parametrize(("chunk", "part", "fan"), [(1_000_000, 4_000_000, 256), (3000, 5000, 256), (3000, 5000, 4), (8000, 6000, 3)])
+def test_substrings(docs, rows, chunk, part, fan):
+    got = substring.dedup(docs, words_in_chunk=chunk, keys_in_part=part, fan=fan).collect()
     assert multiset(got) == brute_substrings(rows)
 
 
