@@ -12,10 +12,11 @@ STOP_WORDS = (
     "as", "resident", "from", "where", "group", "by", "order", "load", "inline", "mapping", "distinct", "and", "or", "not", "null", "true", "false",
     "if", "then", "else", "end", "case", "when", "in", "like", "is", "on", "using", "asc", "desc", "concatenate", "noconcatenate",
 )
-# What quoted text, a function's name and a column's name look like in an expression.
+# What quoted text looks like in an expression, and a function's name or else a column's (the group).
 QUOTED_TEXT = r"'[^']*'"
-FUNCTION_NAME = r"[A-Za-z_][A-Za-z0-9_$#]*\s*\("
-COLUMN_NAME = r'"[^"]+"|\[[^\]]+\]|[A-Za-z_][A-Za-z0-9_$]*'
+NAME = r'(?U)[A-Za-z_][\w$#]*+\s*\(|("[^"]+"|\[[^\]]+\]|[A-Za-z_][\w$]*)'
+#: The mapping table that a lookup names first.
+LOOKED_UP = r"(?i)apply_?map\s*\(\s*['\"\[]?([^'\"\],()]+)"
 #: Aggregates that make a column's mapping an aggregate; and the longer list of those that the library has.
 AGGREGATES = ("sum", "count", "avg", "min", "max", "only")
 ALL_AGGREGATES = (*AGGREGATES, "median", "stdev", "mode", "concat", "firstsortedvalue", "fractile", "aggr", "fieldvaluecount")
@@ -25,8 +26,8 @@ _KEY = ["script", "tbl", "col"]
 
 def referenced_columns(expr: Column) -> Column:
     """M1: columns that an expression names, each once, in order: text in quotes and names before a parenthesis are none."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(expr, F.lit("")), QUOTED_TEXT, " "), FUNCTION_NAME, " ( ")
-    tokens = F.regexp_extract_all(bare, F.lit(COLUMN_NAME), F.lit(0))
+    bare = F.regexp_replace(F.coalesce(expr, F.lit("")), QUOTED_TEXT, " ")
+    tokens = F.regexp_extract_all(bare, F.lit(NAME), F.lit(1))  # empty for a function
     names = F.transform(tokens, lambda t: F.trim(F.regexp_replace(t, r'^["\[]|["\]]$', "")))
     return F.array_distinct(F.filter(names, lambda n: (n != "") & ~F.lower(n).isin(*STOP_WORDS) & ~n.rlike(r"^[0-9]+$")))
 
@@ -61,32 +62,60 @@ def mapping_type(expr: Column, n_refs: Column, grouped: Column, passthrough: Col
     )
 
 
-def ultimate_sources(deps: DataFrame, starts: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
+def lookup_providers(columns: DataFrame, maps: DataFrame) -> DataFrame:
+    """M2: a row of deps for each mapping table (maps: script, map) that a column's expression (columns: script, tbl, col, expr) looks up: its mapped_value."""
+    used = columns.select(*_KEY, F.explode(F.array_distinct(F.transform(F.regexp_extract_all("expr", F.lit(LOOKED_UP), F.lit(1)), lambda m: F.lower(F.trim(m))))).alias("_map"))
+    known = maps.select("script", F.col("map").alias("upstream"), F.lower("map").alias("_map"))
+    return used.join(known, ["script", "_map"]).select(*_KEY, "upstream", F.lit("mapped_value").alias("up_col"), F.lit(False).alias("external"))
+
+
+def _node(tbl: str, col: str) -> Column:
+    """A column as 128 bits, without regard to case; table and column are kept apart."""
+    parts = (F.col("script"), F.lower(tbl), F.lower(col))
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
+def with_passed_through(deps: DataFrame, joins: DataFrame, outputs: DataFrame, tables: DataFrame) -> DataFrame:
+    """M4: deps, and rows for columns that a table hands on without listing them: those that others name but the table's outputs
+    lack come from its joined tables or its row source (see resolve_providers), and so on upward until nothing new is named."""
+    known = outputs.select("script", F.lower("tbl").alias("_t"), F.lower("col").alias("_c")).distinct()
+    names = tables.select("script", "tbl", F.lower("tbl").alias("_t")).dropDuplicates(["script", "_t"])
+    new, out = written(deps), deps
+    while True:
+        named = new.where(~F.col("external")).select("script", F.lower("upstream").alias("_t"), F.lower("up_col").alias("_c"), F.col("up_col").alias("col"))
+        named = named.groupBy("script", "_t", "_c").agg(F.min("col").alias("col")).join(known, ["script", "_t", "_c"], "left_anti")
+        refs = written(named.join(names, ["script", "_t"]))
+        if refs.isEmpty():
+            return out
+        new = written(resolve_providers(refs.select("script", "tbl", "col", F.col("col").alias("up_col")), joins, outputs, tables))
+        out = out.unionByName(new)
+        known = known.unionByName(refs.select("script", "_t", "_c"))
+
+
+def ultimate_sources(deps: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """M4: script, tbl, col, source, source_col: the external columns that each column comes from, each once.
 
-    A frontier of (column, column that it depends on) pairs is joined to deps, round after round, until it is empty; pairs that
-    were seen before are left out, so that cycles end. A column without deps of its own in a table that has
-    some row source passes through if deps hold it so. Each round is a written table. starts: only these columns.
+    Every column points at those that it depends on. A step lets it point at what these point at, which doubles the distance; an external
+    column is pointed at for good, and what has no deps of its own is dropped. So the number of steps is the logarithm of the
+    depth; cycles end as no way to a source is longer than the number of columns. Each step is a written table, keyed by 128 bits a column.
+    starts: only these columns. See with_passed_through for columns that a table hands on without listing them.
     """
-    node = lambda a, b: F.concat_ws(".", F.lower(a), F.lower(b))
-    d = written(
-        deps.select("script", node(F.col("tbl"), F.col("col")).alias("node"), node(F.col("upstream"), F.col("up_col")).alias("up"), "external", F.col("upstream").alias("source"), F.col("up_col").alias("source_col"))
-        .withColumn("up", F.when(~F.col("external"), F.col("up")))
-        .distinct()
-    )
-    first = (starts if starts is not None else deps).select(*_KEY).distinct()
-    frontier = written(first.select(*_KEY, node(F.col("tbl"), F.col("col")).alias("node")))
-    seen, found = frontier, None
-    for _ in range(max_rounds):
-        step = written(frontier.join(d, ["script", "node"]).select(*_KEY, "up", "external", "source", "source_col"))
-        hit = step.where("external").select(*_KEY, "source", "source_col")
-        found = hit if found is None else found.unionByName(hit)
-        frontier = step.where(~F.col("external")).select(*_KEY, F.col("up").alias("node")).distinct().join(seen, [*_KEY, "node"], "left_anti")
-        frontier = written(frontier)
-        if frontier.isEmpty():
-            return found.distinct()
-        seen = seen.unionByName(frontier)
-    raise ValueError(f"lineage is deeper than {max_rounds} steps")
+    deps = deps.select(*_KEY, "upstream", "up_col", F.coalesce("external", F.lit(False)).alias("external"))
+    own = deps.select(
+        _node("tbl", "col").alias("node"), F.when(~F.col("external"), _node("upstream", "up_col")).alias("up"),
+        F.when(F.col("external"), F.col("upstream")).alias("source"), F.when(F.col("external"), F.col("up_col")).alias("source_col"),
+    )
+    points = written(own.distinct())
+    size = points.agg(F.count(F.lit(1)).alias("n"), F.count("up").alias("open")).first()
+    left, steps = size["open"], 0
+    while left and 1 << steps <= size["n"]:
+        to = points.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("source").alias("_source"), F.col("source_col").alias("_col"))
+        ahead = points.where("up is not null").select("node", "up").join(to, "up").select("node", F.col("_up").alias("up"), F.col("_source").alias("source"), F.col("_col").alias("source_col"))
+        points = written(points.where("up is null").unionByName(ahead).distinct())
+        left, steps = points.where("up is not null").count(), steps + 1
+    found = points.where("up is null").select("node", "source", "source_col")
+    names = (starts if starts is not None else deps).select(*_KEY).distinct().withColumn("node", _node("tbl", "col"))
+    return names.join(found, "node").select(*_KEY, "source", "source_col")
 
 
 def table_edges(deps: DataFrame) -> DataFrame:

@@ -24,10 +24,14 @@ def fact_table(sales: DataFrame, expenses: DataFrame) -> DataFrame:
     return drop_fields(concatenate(own, keys), "Region")
 
 
-def history_flag(fact: DataFrame, as_of: date) -> DataFrame:
+def is_history(month: Column, as_of: date) -> Column:
     """1 for months up to the month of as_of, else 0."""
-    months = load_distinct(fact, "YYYYMM")
-    return months.withColumn("HistoryFlag", If(F.col("YYYYMM") <= MonthStart(F.lit(as_of)), F.lit(1), F.lit(0)))
+    return If(month <= MonthStart(F.lit(as_of)), F.lit(1), F.lit(0))
+
+
+def history_flag(fact: DataFrame, as_of: date) -> DataFrame:
+    """The table of months with their flags."""
+    return load_distinct(fact, "YYYYMM").withColumn("HistoryFlag", is_history(F.col("YYYYMM"), as_of))
 
 
 def executive_star(sales: DataFrame, budget: DataFrame, expenses: DataFrame, as_of: date) -> DataFrame:
@@ -41,4 +45,38 @@ def executive_star(sales: DataFrame, budget: DataFrame, expenses: DataFrame, as_
     facts = fact.groupBy("MonthlyRegionKey", "YYYYMM").agg(money("Sales Amount").alias("SalesAmount"), F.count_distinct("CustKey").alias("n_customers"))
     budgets = budget.groupBy(monthly_region_key(F.col("Region"), F.col("Month")).alias("MonthlyRegionKey")).agg(money("Budget").alias("Budget"))
     spent = expenses.groupBy(monthly_region_key(F.col("Region"), F.col("YYYYMM")).alias("MonthlyRegionKey")).agg(money("ExpenseActual").alias("ExpenseActual"), money("ExpenseBudget").alias("ExpenseBudget"))
-    return join_all(facts, [(budgets, "left"), (spent, "left"), (history_flag(fact, as_of), "left")])
+    return join_all(facts, [(budgets, "left"), (spent, "left")]).withColumn("HistoryFlag", is_history(F.col("YYYYMM"), as_of))
+
+
+def customer_branch(customer_map: DataFrame, ar: DataFrame, ar_ages: DataFrame) -> DataFrame:
+    """CustKey with its receivables: those of CustKeyAR, whose ages (several rows each) are summed to the key first."""
+    ages = ar_ages.groupBy("CustKeyAR").agg(F.sum(F.col("ARAgeBal").cast("decimal(18,4)")).cast("double").alias("ARAgeBal"), F.count_distinct("ARAge").alias("ARAges"))
+    return join_all(customer_map, [(ar, "left"), (ages, "left")])
+
+
+def address_branch(customers: DataFrame, channels: DataFrame, reps: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Customers by `Address Number` with channel, sales rep and address."""
+    return join_all(customers, [(channels, "left"), (reps, "left"), (addresses, "left")])
+
+
+def item_branch(branches: DataFrame, items: DataFrame, groups: DataFrame, subgroups: DataFrame, types: DataFrame) -> DataFrame:
+    """`Item-Branch Key` with the item and the names of its product group, sub group and type."""
+    return join_all(branches, [(items, "left"), (groups, "left"), (subgroups, "left"), (types, "left")])
+
+
+def inventory_branch(balances: DataFrame) -> DataFrame:
+    """`Line Desc 1` with its balances, summed: a line has several."""
+    money = lambda c: F.sum(F.col(c).cast("decimal(18,4)")).cast("double").alias(c)
+    return balances.groupBy("Line Desc 1").agg(money("ThroughputQty"), money("StockOH"))
+
+
+def expense_branch(expenses: DataFrame, accounts: DataFrame, account_master: DataFrame, account_groups: DataFrame) -> DataFrame:
+    """MonthlyRegionKey and AccountGroupDesc: what was spent and budgeted, and how many accounts have a name."""
+    money = lambda c: F.sum(F.col(c).cast("decimal(18,4)")).cast("double").alias(c)
+    named = join_all(expenses, [(accounts, "left"), (account_master, "left"), (account_groups, "left")])
+    return named.groupBy("MonthlyRegionKey", "AccountGroupDesc").agg(money("ExpenseActual"), money("ExpenseBudget"), F.count_distinct("AccountDesc").alias("Accounts"))
+
+
+def whole_star(fact: DataFrame, calendar: DataFrame, customers: DataFrame, addresses: DataFrame, items: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Every fact row with all that its keys lead to. Each branch has one row a key, so that facts aren't multiplied."""
+    return join_all(fact, [(calendar, "left"), (customers, "left"), (addresses, "left"), (items, "left"), (inventory, "left")])

@@ -14,9 +14,9 @@ LINES = """
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""
 
 
-def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines with their orders and customers."""
-    li, o, c = table(spark, sf, "lineitem"), table(spark, sf, "orders"), table(spark, sf, "customer")
+def _lines(spark: SparkSession, sf: str, which: str = "true") -> DataFrame:
+    """Lines with their orders (those of a condition, which reaches the scan) and customers."""
+    li, o, c = table(spark, sf, "lineitem"), table(spark, sf, "orders").where(which), table(spark, sf, "customer")
     return li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
 
 
@@ -47,8 +47,7 @@ def sales_mart(spark: SparkSession, sf: str) -> DataFrame:
         F.col("p_partkey").alias("ProductID"), F.col("p_name").alias("ProductName"), F.col("p_type").alias("Therapeutic Area"),
         F.col("p_retailprice").cast("string").alias("UnitPrice"), (F.col("p_size") > 25).cast("int").alias("Discontinued"),
     )
-    lines = _lines(spark, sf)
-    now, before = lines.where(F.year("o_orderdate") >= 2000), lines.where(F.year("o_orderdate") < 2000)
+    now, before = (_lines(spark, sf, f"o_orderdate {side} timestamp_ntz'2000-01-01'") for side in (">=", "<"))
     return sales.sales_fact(_country(spark, sf), products, _sales_rows(now), _sales_rows(before))
 
 
@@ -110,4 +109,56 @@ def executive_dashboard(spark: SparkSession, sf: str) -> DataFrame:
     return executive.executive_star(facts, budget, expenses, date(2001, 6, 15))
 
 
+@query(f"""
+WITH f AS (SELECT date_trunc('month', l_shipdate) + INTERVAL 12 MONTH AS m, o_custkey, l_partkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,4)) AS a {LINES}),
+b AS (SELECT c_custkey % 100 AS k, sum(CAST(c_acctbal AS DECIMAL(18,4))) AS o, count(DISTINCT c_mktsegment) AS g FROM customer GROUP BY 1),
+i AS (SELECT p_size % 7 + 1 AS l, sum(CAST(p_retailprice AS DECIMAL(18,4))) AS s FROM part WHERE p_partkey % 2 = 0 OR p_size % 7 > 0 GROUP BY 1)
+SELECT year(m)::INTEGER AS "Fiscal Year", left(c_mktsegment, 4) AS "SegmentGroup", lower(p_brand) AS "Product Group Desc", n_name AS "Sales Rep Name", count(*) AS n_rows, CAST(sum(a) AS DOUBLE) AS "SalesAmount",
+  count(DISTINCT o_custkey % 100) AS n_accounts, CAST(max(o) AS DOUBLE) AS "AROpen", CAST(min(o) AS DOUBLE) AS "ARAgeBal", max(g) AS "ARAges", CAST(max(s) AS DOUBLE) AS "StockOH", min('type ' || p_type) AS first_type
+FROM f JOIN customer ON o_custkey = c_custkey LEFT JOIN b ON k = o_custkey % 100 LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN i ON l = l_linenumber LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 20 GROUP BY ALL""")
+def executive_star(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts with calendar, receivables, customer, channel, sales rep, address, item, product names and inventory."""
+    c, p, nation = table(spark, sf, "customer"), table(spark, sf, "part"), table(spark, sf, "nation")
+    month = F.add_months(F.trunc("l_shipdate", "month"), 12)
+    fact = _lines(spark, sf).select(
+        month.alias("YYYYMM"), F.col("o_custkey").alias("CustKey"), F.col("o_custkey").alias("Address Number"), F.col("l_partkey").alias("Item-Branch Key"), F.col("l_linenumber").alias("Line Desc 1"), F.col("l_extendedprice").alias("Sales Amount")
+    )
+    calendar = table(spark, sf, "lineitem").select(month.alias("YYYYMM")).distinct().withColumn("Fiscal Year", F.year("YYYYMM"))
+    ar_key = (F.col("c_custkey") % 100).alias("CustKeyAR")
+    ages = c.select(ar_key, F.col("c_mktsegment").alias("ARAge"), F.col("c_acctbal").alias("ARAgeBal"))
+    ar = c.groupBy(ar_key).agg(F.sum(F.col("c_acctbal").cast("decimal(18,4)")).cast("double").alias("AROpen"))
+    customers = executive.customer_branch(c.select(F.col("c_custkey").alias("CustKey"), ar_key), ar, ages)
+    segments = c.select(F.col("c_mktsegment").alias("Segment")).distinct().withColumn("SegmentGroup", F.substring("Segment", 1, 4))
+    reps = nation.where("n_nationkey < 20").select(F.col("n_nationkey").alias("Sales Rep"), F.col("n_name").alias("Sales Rep Name"))
+    master = c.select(F.col("c_custkey").alias("Address Number"), F.col("c_mktsegment").alias("Segment"), F.col("c_nationkey").alias("Sales Rep"))
+    addresses = executive.address_branch(master, segments, reps, c.select(F.col("c_custkey").alias("Address Number"), F.col("c_name").alias("Customer Address 1")))
+    short = F.concat(F.lit("item "), F.col("p_partkey").cast("string")).alias("Short Name")
+    named = lambda key, label, text: p.select(F.col(key).alias(label)).distinct().withColumn(f"{label} Desc", text)
+    items = executive.item_branch(
+        p.select(F.col("p_partkey").alias("Item-Branch Key"), short), p.select(short, F.col("p_brand").alias("Product Group"), F.col("p_size").alias("Product Sub Group"), F.col("p_type").alias("Product Type")),
+        named("p_brand", "Product Group", F.lower("Product Group")), named("p_size", "Product Sub Group", F.col("Product Sub Group").cast("string")), named("p_type", "Product Type", F.concat(F.lit("type "), F.col("Product Type"))),
+    )
+    balances = p.where("p_partkey % 2 = 0 or p_size % 7 > 0").select((F.col("p_size") % 7 + 1).alias("Line Desc 1"), F.col("p_size").alias("ThroughputQty"), F.col("p_retailprice").alias("StockOH"))
+    star = executive.whole_star(fact, calendar, customers, addresses, items, executive.inventory_branch(balances))
+    return star.groupBy("Fiscal Year", "SegmentGroup", "Product Group Desc", "Sales Rep Name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("Sales Amount").cast("decimal(18,4)")).cast("double").alias("SalesAmount"), F.count_distinct("CustKeyAR").alias("n_accounts"), F.max("AROpen").alias("AROpen"),
+        F.min("ARAgeBal").alias("ARAgeBal"), F.max("ARAges").alias("ARAges"), F.max("StockOH").alias("StockOH"), F.min("Product Type Desc").alias("first_type"),
+    )
+
+
+@query("""
+SELECT r_name || '_' || strftime(make_date(2000, 1 + CAST(s_suppkey % 12 AS INTEGER), 1) + INTERVAL 12 MONTH, '%Y%m') AS "MonthlyRegionKey", CASE WHEN s_suppkey % 10 < 9 THEN 'group ' || s_suppkey % 3 END AS "AccountGroupDesc",
+  CAST(sum(CAST(s_acctbal AS DECIMAL(18,4))) AS DOUBLE) AS "ExpenseActual", CAST(sum(s_suppkey) AS DOUBLE) AS "ExpenseBudget", count(DISTINCT s_name) AS "Accounts"
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
+def executive_expenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Expenses by the groups of their accounts."""
+    s, nation, region = table(spark, sf, "supplier"), table(spark, sf, "nation"), table(spark, sf, "region")
+    placed = s.join(nation, s.s_nationkey == nation.n_nationkey).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    month = F.make_date(F.lit(2000), (F.col("s_suppkey") % 12 + 1).cast("int"), F.lit(1))
+    expenses = placed.select(executive.monthly_region_key(F.col("r_name"), month).alias("MonthlyRegionKey"), F.col("s_suppkey").alias("Account"), F.col("s_acctbal").alias("ExpenseActual"), F.col("s_suppkey").alias("ExpenseBudget"))
+    account = F.col("s_suppkey").alias("Account")
+    groups = s.select((F.col("s_suppkey") % 3).alias("AccountGroup")).distinct().withColumn("AccountGroupDesc", F.concat(F.lit("group "), F.col("AccountGroup").cast("string")))
+    return executive.expense_branch(expenses, s.select(account, F.col("s_name").alias("AccountDesc")), s.where("s_suppkey % 10 < 9").select(account, (F.col("s_suppkey") % 3).alias("AccountGroup")), groups)
+
+
 __all__ = ["QUERIES"]

@@ -12,7 +12,7 @@ _COLUMNS = """(SELECT p_brand AS script, 'tab_' || p_type AS tbl, 'c' || p_partk
   CASE p_size % 6 WHEN 0 THEN 'ApplyMap(''M'', k' || p_size || ', ''none'')' WHEN 1 THEN '''fixed''' WHEN 2 THEN 'Sum("Unit Price") * Num(Qty)' WHEN 3 THEN 'key' || p_size WHEN 4 THEN 'if([' || p_name || '] = 1, a_1, a_1 & b)' ELSE 'Max(x) + 12' END AS expr,
   p_size % 6 = 3 AS passthrough, p_size % 4 = 2 AS grouped, CASE WHEN p_size % 10 = 0 THEN 2 ELSE 0 END AS n_warnings, p_size FROM part)"""
 
-_JOINS = """(SELECT p_brand AS script, 'tab_' || p_type AS base_tbl, 'tab_' || p_size AS right_tbl, min(p_partkey) AS pos FROM part WHERE p_size % 7 = 0 GROUP BY ALL)"""
+_JOINS = """(SELECT p_brand AS script, 'tab_' || p_type AS base_tbl, 'tab_' || p_size AS right_tbl, min(p_partkey) AS pos FROM part GROUP BY ALL)"""
 
 
 def _columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,7 +30,7 @@ def _columns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _joins(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").where("p_size % 7 = 0")
+    p = table(spark, sf, "part")
     own = p.select(F.col("p_brand").alias("script"), F.concat(F.lit("tab_"), F.col("p_type")).alias("base_tbl"), F.concat(F.lit("tab_"), F.col("p_size").cast("string")).alias("right_tbl"), "p_partkey")
     return own.groupBy("script", "base_tbl", "right_tbl").agg(F.min("p_partkey").alias("pos")).withColumn("join_kind", F.lit("left"))
 
@@ -54,6 +54,12 @@ def m2_providers(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.resolve_providers(refs, joins, outputs, sources)
 
 
+@query(f"SELECT script, tbl, col, 'm' AS upstream, 'mapped_value' AS up_col, false AS external FROM {_COLUMNS} WHERE p_size % 6 = 0")
+def m2_lookup_providers(spark: SparkSession, sf: str) -> DataFrame:
+    columns = _columns(spark, sf)
+    return lineage.lookup_providers(columns, columns.select("script").distinct().withColumn("map", F.lit("m")))
+
+
 @query(f"""SELECT script, col, CASE p_size % 6 WHEN 0 THEN 'lookup' WHEN 1 THEN 'constant' WHEN 3 THEN CASE WHEN p_size % 5 = 0 THEN 'join' ELSE 'direct' END WHEN 4 THEN 'derived' ELSE CASE WHEN grouped THEN 'aggregate' ELSE 'derived' END END AS mapping FROM {_COLUMNS}""")
 def m3_mapping_types(spark: SparkSession, sf: str) -> DataFrame:
     refs = F.size(lineage.referenced_columns(F.col("expr")))
@@ -80,6 +86,20 @@ def m4_ultimate_sources(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.ultimate_sources(_order_deps(spark, sf))
 
 
+@query("""SELECT DISTINCT p_brand AS script, 'mart' AS tbl, 'c' || p_partkey AS col, CASE WHEN p_partkey % 50 % 2 = 0 THEN 'direct' WHEN p_partkey % 50 % 5 = 0 THEN 'dim source' ELSE 'lake' END AS source, 'k' || p_partkey % 50 AS source_col FROM part""")
+def m4_passed_through(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns of a mart from a table that lists some of them, is joined to one that has others, and hands on the rest of two tables below."""
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("script"), "p_partkey", (F.col("p_partkey") % 50).alias("n"), F.concat(F.lit("k"), (F.col("p_partkey") % 50).cast("string")).alias("k"))
+    dep = lambda df, tbl, col, upstream, external: df.select("script", F.lit(tbl).alias("tbl"), col.alias("col"), F.lit(upstream).alias("upstream"), F.col("k").alias("up_col"), F.lit(external).alias("external"))
+    mart = dep(p, "mart", F.concat(F.lit("c"), F.col("p_partkey").cast("string")), "Mid", False)
+    listed = dep(p.where("n % 2 = 0"), "mid", F.col("k"), "direct", True).unionByName(dep(p.where("n % 5 = 0"), "dim", F.col("k"), "dim source", True)).distinct()
+    scripts, deps = p.select("script").distinct(), mart.unionByName(listed)
+    named = lambda *rows: scripts.select("script", F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in r.items()]) for r in rows])))
+    tables = named({"tbl": "mart", "source": "mid", "source_external": False}, {"tbl": "mid", "source": "stage", "source_external": False}, {"tbl": "stage", "source": "lake", "source_external": True}, {"tbl": "dim", "source": "dim source", "source_external": True})
+    every = lineage.with_passed_through(deps, named({"base_tbl": "mid", "right_tbl": "dim", "pos": 1}), deps.select("script", "tbl", "col"), tables)
+    return lineage.ultimate_sources(every, mart)
+
+
 def _customer_deps(spark: SparkSession, sf: str) -> DataFrame:
     c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
     return c.join(n, c.c_nationkey == n.n_nationkey).select(
@@ -137,7 +157,10 @@ def m10_catalog_text(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.catalog_text(_columns(spark, sf))
 
 
-@query()
+@query(f"""WITH d AS (SELECT DISTINCT * FROM {_DEPS}),
+  f AS (SELECT script, tbl, col, list_sort(list({{'name': upstream, 'field': up_col, 'type': CASE WHEN col < 'c5' THEN 'DIRECT' ELSE 'INDIRECT' END}})) AS i FROM d GROUP BY ALL),
+  g AS (SELECT script, tbl, list_sort(list({{'col': col, 'inputFields': i}})) AS fields FROM f GROUP BY ALL), u AS (SELECT script, tbl, list_sort(list(DISTINCT upstream)) AS inputs FROM d GROUP BY ALL)
+  SELECT script, tbl, CAST(to_json({{'processingType': 'BATCH', 'inputs': inputs, 'output': tbl, 'fields': fields}}) AS VARCHAR) AS record FROM g JOIN u USING (script, tbl)""")
 def m11_lineage_records(spark: SparkSession, sf: str) -> DataFrame:
     deps = _customer_deps(spark, sf)
     kinds = deps.select("script", "tbl", "col").distinct().withColumn("kind", F.when(F.col("col") < "c5", "direct").otherwise("derived"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loadflow.operators import aggregates as A
 from loadflow.operators import mapping, ordered, tables
 from loadflow.plans.common import query, table
-from loadflow.sources import landing, readers, sinks
+from loadflow.sources import landing, readers, shared, sinks
 from loadflow.sources.shared import shared_dir
 
 
@@ -34,16 +34,16 @@ def s2_load_delimited(spark: SparkSession, sf: str) -> DataFrame:
     return readers.load_text(spark, path, "c_custkey long, c_name string, c_mktsegment string", delimiter=";")
 
 
-@query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderpriority")
+@query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
 def s3_load_sql(spark: SparkSession, sf: str) -> DataFrame:
     readers.load_named(spark, "orders_s3", f"{sf}/orders.parquet")
-    return readers.load_sql(spark, "SELECT o_orderpriority, count(*) AS n FROM orders_s3 WHERE o_totalprice > 1000 GROUP BY o_orderpriority")
+    return readers.load_sql(spark, "SELECT o_orderpriority, count(*) AS n FROM orders_s3 GROUP BY o_orderpriority")
 
 
-@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0")
+@query("SELECT c_custkey, c_acctbal FROM customer")
 def s4_load_resident(spark: SparkSession, sf: str) -> DataFrame:
     readers.load_named(spark, "customer_s4", f"{sf}/customer.parquet")
-    return readers.load_resident(spark, "customer_s4", "c_custkey", "c_acctbal").where("c_acctbal > 0")
+    return readers.load_resident(spark, "customer_s4", "c_custkey", "c_acctbal")
 
 
 @query("SELECT v.label, count(*) AS n FROM orders JOIN (VALUES ('P', 'pending'), ('F', 'filled'), ('O', 'open')) AS v(code, label) ON o_orderstatus = v.code GROUP BY v.label")
@@ -59,15 +59,20 @@ def s6_autogenerate(spark: SparkSession, sf: str) -> DataFrame:
     return tables.natural_join(months, orders, "left").groupBy("recno").agg(F.count("o_orderkey").alias("n"))
 
 
-@query("SELECT year(o_orderdate)::INTEGER AS y, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders WHERE year(o_orderdate) IN (1998, 1999) GROUP BY 1")
+@query("SELECT year(o_orderdate)::INTEGER AS y, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1")
 def s7_s8_load_each_file(spark: SparkSession, sf: str) -> DataFrame:
-    """Two yearly files of one layout, read in one scan."""
-    orders, paths = table(spark, sf, "orders"), []
-    for year in (1998, 1999):
-        paths.append(_scratch(spark))
-        orders.where(F.year("o_orderdate") == year).write.parquet(paths[-1])
-    df = readers.load_each(spark, paths)
-    return df.groupBy(F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+    """A file for each year of orders, read in one scan, and a table's name given to each file."""
+    path = _scratch(spark)
+    table(spark, sf, "orders").withColumn("y", F.year("o_orderdate")).write.partitionBy("y").parquet(path)
+    folders = shared.subfolders(spark, path)
+    df = readers.load_each(spark, folders, "file").drop("file")
+    for i, folder in enumerate(folders):
+        readers.load_named(spark, f"orders_s8_{i}", folder)
+    named = readers.load_resident(spark, "orders_s8_0")
+    for i in range(1, len(folders)):
+        named = named.unionByName(readers.load_resident(spark, f"orders_s8_{i}"))
+    totals = lambda d: d.groupBy(F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+    return totals(df).intersect(totals(named))
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
@@ -104,11 +109,11 @@ def s10_failed_casts(spark: SparkSession, sf: str) -> DataFrame:
     return landing.failed_casts(_raw_orders(spark, sf))
 
 
-@query("""SELECT p_brand || '_' || k AS name, s AS kind, CASE WHEN regexp_matches(lower(p_brand || '_' || k), '^(.*_fact|.*_dim|fact.*|dim.*|.*_report|.*_kpi|.*summary)$') THEN 'mart'
+@query("""SELECT p_brand || '_' || k AS name, s AS kind, CASE WHEN regexp_matches(lower(p_brand || '_' || k), '^(.*_fact|.*_dim|.*fact|fact.*|dim.*|.*_report|.*_kpi|.*summary)$') THEN 'mart'
   WHEN s IN ('qvd', 'file', 'sql', 'inline') THEN 'staging' ELSE 'intermediate' END AS layer
-  FROM (SELECT DISTINCT p_brand FROM part) p, (VALUES ('fact', 'qvd'), ('rows', 'file'), ('map', 'resident'), ('KPI', 'sql')) v(k, s)""")
+  FROM (SELECT DISTINCT p_brand FROM part) p, (VALUES ('fact', 'qvd'), ('rows', 'file'), ('map', 'resident'), ('KPI', 'sql'), ('SalesFact', 'file')) v(k, s)""")
 def s11_layers(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = readers.load_inline(spark, [("fact", "qvd"), ("rows", "file"), ("map", "resident"), ("KPI", "sql")], "k string, kind string")
+    kinds = readers.load_inline(spark, [("fact", "qvd"), ("rows", "file"), ("map", "resident"), ("KPI", "sql"), ("SalesFact", "file")], "k string, kind string")
     names = tables.natural_join(table(spark, sf, "part").select("p_brand").distinct(), kinds, allow_cross=True)
     df = names.select(F.concat_ws("_", "p_brand", "k").alias("name"), "kind")
     return df.withColumn("layer", sinks.layer(F.col("name"), F.col("kind")))
@@ -123,6 +128,48 @@ def s12_s15_store(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("o_orderpriority string, n long, o_orderstatus string").parquet(path)
 
 
+@query("""SELECT 'view' AS kind, o_orderstatus AS k, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'table', o_orderpriority, count(*) FROM orders GROUP BY ALL""")
+def s12_materialise(spark: SparkSession, sf: str) -> DataFrame:
+    """A staging table as a view and a mart as a table of the catalog, each by the layer of its name."""
+    o, name = table(spark, sf, "orders"), f"s12_{uuid.uuid4().hex}"
+    count = lambda c: o.groupBy(F.col(c).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    for t, df in ((f"{name}_rows", count("o_orderstatus")), (f"{name}_fact", count("o_orderpriority"))):
+        sinks.materialise(df, t, sinks.layer_of(t, "file"))
+    kinds = {t.name: "view" if t.isTemporary else "table" for t in spark.catalog.listTables() if t.name.startswith(name)}
+    made = [spark.table(t).select(F.lit(kind).alias("kind"), "k", "n") for t, kind in sorted(kinds.items())]
+    return made[0].unionByName(made[1])
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def s14_rebuild(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of the catalog, rebuilt over another one of its name."""
+    o, name = table(spark, sf, "orders"), f"s14_{uuid.uuid4().hex}"
+    sinks.rebuild(o.select("o_orderkey"), name)
+    sinks.rebuild(o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")), name)
+    return spark.table(name)
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def s15_save(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows in place of others, then more rows added."""
+    o, name = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), f"s15_{uuid.uuid4().hex}"
+    sinks.rebuild(o.where("o_orderstatus = 'P'"), name)
+    sinks.save(o.where("o_orderstatus = 'F'"), name, overwrite=True)
+    sinks.save(o.where("o_orderstatus <> 'F'"), name)
+    return spark.table(name)
+
+
+@query("SELECT 'Customers' AS name, count(*) AS n FROM customer")
+def s16_drop(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of a job's tables, after one is dropped."""
+    job = tables.Tables(spark)
+    for name, source in (("Orders", "orders"), ("Customers", "customer")):
+        job.load(name, table(spark, sf, source))
+    job.drop("orders")
+    left = [job[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name in job.names]
+    return tables.concatenate(*left)
+
+
 # Projections and filters
 
 
@@ -132,6 +179,11 @@ def p1_p5_project_filter(spark: SparkSession, sf: str) -> DataFrame:
     return tables.select(df, "Order ID", half=F.col("o_totalprice") * 0.5)
 
 
+@query("SELECT * FROM supplier")
+def p3_all_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.select(table(spark, sf, "supplier"))
+
+
 @query("SELECT c_custkey, substr(c_name, 10) AS no FROM customer WHERE TRY_CAST(substr(c_name, 10) AS DOUBLE) > 100")
 def p6_text_compared_with_number(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "customer").select("c_custkey", F.substring("c_name", 10, 99).alias("no"))
@@ -167,12 +219,14 @@ def p12_branch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _keyed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    li = table(spark, sf, "lineitem").where("l_quantity > 10").select(F.col("l_partkey").alias("PartKey"), "l_orderkey", "l_linenumber")
-    return li, table(spark, sf, "part").where("p_size < 25").select(F.col("p_partkey").alias("partkey"), "p_brand")
+    """All lines and all parts; lines of more than 40 pieces have a key that no part has, and parts of sizes below 5 one that no line has."""
+    key = F.when(F.col("l_quantity") > 40, -F.col("l_partkey") - 1).otherwise(F.col("l_partkey"))
+    part = F.when(F.col("p_size") < 5, F.col("p_partkey") + 1_000_000_000).otherwise(F.col("p_partkey"))
+    return table(spark, sf, "lineitem").select(key.alias("PartKey"), "l_orderkey", "l_linenumber"), table(spark, sf, "part").select(part.alias("partkey"), "p_brand")
 
 
-_L = "(SELECT l_partkey AS PartKey, l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 10) l"
-_P = "(SELECT p_partkey AS partkey, p_brand FROM part WHERE p_size < 25) p"
+_L = "(SELECT CASE WHEN l_quantity > 40 THEN -l_partkey - 1 ELSE l_partkey END AS PartKey, l_orderkey, l_linenumber FROM lineitem) l"
+_P = "(SELECT CASE WHEN p_size < 5 THEN p_partkey + 1000000000 ELSE p_partkey END AS partkey, p_brand FROM part) p"
 
 
 @query(f"SELECT PartKey, l_orderkey, l_linenumber, p_brand FROM {_L} LEFT JOIN {_P} USING (PartKey)")
@@ -205,7 +259,7 @@ def j6_keep(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT r_name, n_name, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
 def j7_j8_star(spark: SparkSession, sf: str) -> DataFrame:
-    """Tables linked by equally named keys; each join is into the named base."""
+    """Tables linked by equally named keys, joined in order."""
     li = tables.rename(table(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice"), {"l_orderkey": "order"})
     o = tables.rename(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), {"o_orderkey": "order", "o_custkey": "cust"})
     c = tables.rename(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), {"c_custkey": "cust", "c_nationkey": "nation"})
@@ -215,6 +269,19 @@ def j7_j8_star(spark: SparkSession, sf: str) -> DataFrame:
     return df.groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("revenue"))
 
 
+@query("SELECT o_orderkey, o_custkey, c_mktsegment, n_name FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20")
+def j7_join_into(spark: SparkSession, sf: str) -> DataFrame:
+    """Joins into a table by its name, and into the one loaded last."""
+    job = tables.Tables(spark)
+    job.load("Orders", table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("cust")))
+    job.load("Customers", table(spark, sf, "customer").select(F.col("c_custkey").alias("Cust"), "c_mktsegment", F.col("c_nationkey").alias("nation")))
+    job.join(table(spark, sf, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("Nation"), "n_name"), "left")
+    job.join(job["Customers"], "inner", into="Orders")
+    out = tables.rename(job["Orders"], {"cust": "o_custkey"}).drop("nation")
+    job.drop("Orders", "Customers")
+    return out
+
+
 @query("SELECT r_name, n_name FROM nation, region")
 def j9_cross(spark: SparkSession, sf: str) -> DataFrame:
     return tables.natural_join(table(spark, sf, "nation").select("n_name"), table(spark, sf, "region").select("r_name"), allow_cross=True)
@@ -241,14 +308,15 @@ def u1_concatenate(spark: SparkSession, sf: str) -> DataFrame:
     return tables.concatenate(c, table(spark, sf, "supplier").select(F.col("s_name").alias("Name"), F.col("s_suppkey").alias("Key")))
 
 
-@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
+@query("SELECT CASE o_orderstatus WHEN 'P' THEN 'apart' ELSE 'one' END AS name, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
 def u2_u3_registry(spark: SparkSession, sf: str) -> DataFrame:
     """Two loads under one name append; a third, kept apart, is another table."""
     o, job = table(spark, sf, "orders"), tables.Tables(spark)
     job.load("Orders", o.where("o_orderstatus = 'F'"))
     job.load("orders", o.where("o_orderstatus = 'O'"))
     job.load("OrdersP", o.where("o_orderstatus = 'P'"), noconcatenate=True)
-    out = job["Orders"].groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    count = lambda key, name: job[key].groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "o_orderstatus", "n")
+    out = count("Orders", "one").unionByName(count("OrdersP", "apart"))
     job.drop("Orders", "OrdersP")
     return out
 
@@ -273,16 +341,25 @@ def a0_a6_group(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT l_returnflag, round(median(l_extendedprice), 4) AS med, round(stddev_samp(l_quantity), 6) AS sd, round(quantile_cont(l_extendedprice, 0.9), 4) AS q90, count(DISTINCT l_partkey) AS parts,
   arg_min(l_orderkey, (l_extendedprice, l_orderkey)) AS cheapest FROM lineitem GROUP BY 1""")
 def a7_a14_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    price = F.col("l_extendedprice")
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.round(A.Median(price), 4).alias("med"), F.round(A.Stdev(F.col("l_quantity")), 6).alias("sd"), F.round(A.Fractile(price, 0.9), 4).alias("q90"),
-        A.FieldValueCount(F.col("l_partkey")).alias("parts"), F.round(A.FirstSortedValue(F.col("l_orderkey"), price), 0).alias("cheapest"),
-    )
+    li, price = table(spark, sf, "lineitem"), F.col("l_extendedprice")
+    own = li.groupBy("l_returnflag").agg(
+        F.round(A.Stdev(F.col("l_quantity")), 6).alias("sd"), A.FieldValueCount(F.col("l_partkey")).alias("parts"), F.round(A.FirstSortedValue(F.col("l_orderkey"), price), 0).alias("cheapest")
+    )
+    places = A.fractiles(li, ["l_returnflag"], price, {"med": 0.5, "q90": 0.9})
+    return own.join(places, "l_returnflag").withColumn("med", F.round("med", 4)).withColumn("q90", F.round("q90", 4))
+
+
+@query("""SELECT n_regionkey, round(median(c_acctbal), 4) AS med, round(quantile_cont(c_acctbal, 0.25), 4) AS q25, count(DISTINCT c_mktsegment) AS segments FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+def a7_a12_in_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as columns for groupBy().agg(), for groups that fit a task."""
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    balance = F.col("c_acctbal")
+    return c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_regionkey").agg(F.round(A.Median(balance), 4).alias("med"), F.round(A.Fractile(balance, 0.25), 4).alias("q25"), A.FieldValueCount(F.col("c_mktsegment")).alias("segments"))
 
 
 @query("SELECT c_nationkey, c_mktsegment AS mode_segment FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) = 1")
 def a9_mode(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").groupBy("c_nationkey").agg(A.Mode(F.col("c_mktsegment")).alias("mode_segment"))
+    return A.modes(table(spark, sf, "customer"), ["c_nationkey"], F.col("c_mktsegment"), "mode_segment")
 
 
 @query("SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name) AS nations FROM nation GROUP BY 1")
@@ -328,9 +405,9 @@ def w5_row_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return ordered.row_numbers(df, "in_customer", ["o_orderkey"], ["o_custkey"]).select("o_orderkey", "rowno", "in_customer")
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(i AS INTEGER) AS iterno FROM lineitem, range(1, 51) r(i) WHERE i <= l_linenumber AND l_quantity > 45")
+@query("SELECT l_orderkey, l_linenumber, CAST(i AS INTEGER) AS iterno FROM lineitem, range(1, 51) r(i) WHERE i <= l_linenumber")
 def w6_iterno(spark: SparkSession, sf: str) -> DataFrame:
-    return ordered.iterno(table(spark, sf, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber"), F.col("l_linenumber"))
+    return ordered.iterno(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), F.col("l_linenumber"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

@@ -6,26 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# What a column's name says about its type, in the order in which it is asked.
-DATE_WORDS = ("date", "_dt", "dob")
-TIMESTAMP_WORDS = ("timestamp", "_ts", "datetime", "created", "updated")
-NUMBER_WORDS = ("amount", "amt", "price", "cost", "value", "sales", "revenue", "qty", "quantity", "rate", "pct")
-ID_ENDINGS = ("id", "_key")
-FLAG_WORDS = ("flag", "is_", "has_")
+# What a column's name says about its type, in the order in which it is asked: words, where they may stand, type.
+NAME_RULES = (
+    (("date", "_dt", "dob"), "within", "date"),
+    (("timestamp", "_ts", "datetime", "created", "updated"), "within", "timestamp_ntz"),
+    (("amount", "amt", "price", "cost", "value", "sales", "revenue", "qty", "quantity", "rate", "pct"), "within", "decimal(38,4)"),
+    (("id", "_key"), "end", "string"),
+    (("key",), "all", "string"),
+    (("flag", "is_", "has_"), "within", "boolean"),
+)
+_STANDS = {"within": str.__contains__, "end": str.endswith, "all": str.__eq__}
 
 
 def type_for(name: str) -> str:
-    """The Spark type that a column's name suggests."""
-    n = name.lower()
-    if any(w in n for w in DATE_WORDS):
-        return "date"
-    if any(w in n for w in TIMESTAMP_WORDS):
-        return "timestamp_ntz"
-    if any(w in n for w in NUMBER_WORDS):
-        return "decimal(38,4)"
-    if n.endswith(ID_ENDINGS) or n in ("id", "key"):
-        return "string"
-    return "boolean" if any(w in n for w in FLAG_WORDS) else "string"
+    """The Spark type that a column's name suggests; text if nothing does."""
+    return next((kind for words, where, kind in NAME_RULES if any(_STANDS[where](name.lower(), w) for w in words)), "string")
 
 
 def _types(raw: DataFrame, overrides: dict[str, str] | None) -> dict[str, str]:

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of its own only where none is set."""
+    """The session's checkpoint folder. Where none is set, a local master has one of its own; on a cluster, whose machines
+    share no such folder, that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
     return context.getCheckpointDir()
 
@@ -32,7 +35,7 @@ def recorded() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _recorders.remove(paths)
+        _recorders[:] = [p for p in _recorders if p is not paths]
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
@@ -42,6 +45,13 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The folders of a folder, in order of their names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return sorted(f.getPath().toString() for f in found if f.isDirectory())
+
+
 def written(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, and lost executors cost nothing before it.
 

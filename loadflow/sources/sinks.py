@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names of tables that are marts.
-MART_PATTERNS = ("*_fact", "*_dim", "fact*", "dim*", "*_report", "*_kpi", "*summary")
+MART_PATTERNS = ("*_fact", "*_dim", "*fact", "fact*", "dim*", "*_report", "*_kpi", "*summary")
 #: Kinds of row source that make a table staging.
 STAGING_KINDS = ("qvd", "file", "sql", "inline")
 

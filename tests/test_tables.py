@@ -134,7 +134,7 @@ def test_sinks_round_trip(spark, tmp_path):
     sinks.materialise(df, "stage_view", "staging")
     sinks.materialise(df, "sales_fact_t", "mart")
     assert spark.table("stage_view").count() == spark.table("sales_fact_t").count() == 5
-    assert [sinks.layer_of(*x) for x in (("Sales_Fact", "qvd"), ("x", "file"), ("x", "resident"))] == ["mart", "staging", "intermediate"]
+    assert [sinks.layer_of(*x) for x in (("Sales_Fact", "qvd"), ("SalesFact", "resident"), ("x", "file"), ("x", "resident"))] == ["mart", "mart", "staging", "intermediate"]
 
 
 def test_each_file_and_text(spark, tmp_path):
@@ -148,7 +148,7 @@ def test_each_file_and_text(spark, tmp_path):
 
 
 def test_referenced_columns(spark):
-    cases = {"Num(UnitPrice) * Num(Quantity)": ["UnitPrice", "Quantity"], "if([A b] = 'x, y', \"C d\", null())": ["A b", "C d"], "'only text'": [], "a & A & a": ["a", "A"], None: []}
+    cases = {"Num(UnitPrice) * Num(Quantity)": ["UnitPrice", "Quantity"], "if([A b] = 'x, y', \"C d\", null())": ["A b", "C d"], "'only text'": [], "a & A & a": ["a", "A"], None: [], "Größe * Num (a$1) + [Sales f(x)]": ["Größe", "a$1", "Sales f(x)"], "if(x=1,'Y','N')": ["x"]}
     df = spark.createDataFrame([(k,) for k in cases], "e string")
     assert {r[0]: r[1] for r in df.select("e", lineage.referenced_columns(F.col("e"))).collect()} == cases
 
@@ -169,6 +169,49 @@ def test_lineage_of_the_sales_sample(spark):
     assert not [x for x in found if x[0] == "loop"]
 
 
+DEPS = "script string, tbl string, col string, upstream string, up_col string, external boolean"
+
+
+def test_lineage_of_long_chains_cycles_and_dotted_names(spark):
+    chain = [("s", f"t{i}", "c", f"T{i - 1}", "C", False) for i in range(1, 300)] + [("s", "t0", "c", "ext", "x", True)]
+    dotted = [("s", "out", "x", "a", "b.c", False), ("s", "a", "b.c", "ext1", "p", True), ("s", "a.b", "c", "ext2", "q", True)]
+    ring = [("s", f"r{i}", "c", f"r{(i + 1) % 7}", "c", False) for i in range(7)] + [("s", "r3", "c", "ext", "ring", True), ("s", "r5", "c", "nowhere", "z", False), ("s", "u", "c", "ext", "n", None)]
+    found = rows(lineage.ultimate_sources(spark.createDataFrame(chain + dotted + ring, DEPS)))
+    want = [("s", f"t{i}", "c", "ext", "x") for i in range(300)] + [("s", "out", "x", "ext1", "p"), ("s", "a", "b.c", "ext1", "p"), ("s", "a.b", "c", "ext2", "q")] + [("s", f"r{i}", "c", "ext", "ring") for i in range(7)]
+    assert found == sorted(want, key=str)
+    starts = spark.createDataFrame([("s", "T299", "c")], "script string, tbl string, col string")
+    assert rows(lineage.ultimate_sources(spark.createDataFrame(chain, DEPS), starts)) == [("s", "T299", "c", "ext", "x")]
+    assert lineage.ultimate_sources(spark.createDataFrame([], DEPS)).count() == 0
+
+
+def test_lookups_and_columns_handed_on(spark):
+    cols = spark.createDataFrame([("s", "t", "a", "ApplyMap('CountryMap', Code, 'x') & apply_map( \"Other\", k)"), ("s", "t", "b", "Code"), ("s", "t", "c", "ApplyMap('None', Code)"), ("z", "t", "a", "ApplyMap('CountryMap', Code)"), ("s", "t", "n", None)], "script string, tbl string, col string, expr string")
+    maps = spark.createDataFrame([("s", "countrymap"), ("s", "Other")], "script string, map string")
+    assert rows(lineage.lookup_providers(cols, maps)) == [("s", "t", "a", "Other", "mapped_value", False), ("s", "t", "a", "countrymap", "mapped_value", False)]
+    deps = spark.createDataFrame([("s", "mart", "x", "mid", "x", False), ("s", "mart", "y", "loop1", "y", False), ("s", "mart", "z", "gone", "z", False)], DEPS)
+    tables_of = spark.createDataFrame([("s", "mart", "mid", False), ("s", "Mid", "stage", False), ("s", "stage", "file", True), ("s", "loop1", "loop2", False), ("s", "loop2", "loop1", False)], "script string, tbl string, source string, source_external boolean")
+    none = spark.createDataFrame([], "script string, base_tbl string, right_tbl string, pos int")
+    every = lineage.with_passed_through(deps, none, deps.select("script", "tbl", "col"), tables_of)
+    assert rows(lineage.ultimate_sources(every, deps)) == [("s", "mart", "x", "file", "x")]
+
+
+def test_quantiles_and_modes_of_any_group(spark):
+    df = spark.createDataFrame([("a", float(x)) for x in (5, 1, 1, 9, 4, 4, 4)] + [("b", 2.0), ("c", None), (None, 3.0), (None, 5.0), ("a", None)], "g string, x double")
+    assert rows(aggregates.fractiles(df, ["g"], F.col("x"), {"m": 0.5, "q": 0.9, "low": 0.0, "high": 1.0})) == rows(df.groupBy("g").agg(*[F.percentile("x", F.lit(p)).alias(n) for n, p in (("m", 0.5), ("q", 0.9), ("low", 0.0), ("high", 1.0))]))
+    assert rows(aggregates.modes(df, ["g"], F.col("x"), "m")) == [("a", 4.0), ("b", 2.0), ("c", None), (None, 3.0)]
+
+
+def test_nested_recorders_keep_recording(spark):
+    from loadflow.sources.shared import recorded, release, written
+
+    with recorded() as outer:
+        with recorded() as inner:
+            pass
+        written(spark.range(1))
+    assert len(outer) == 1 and inner == []
+    release(spark, outer)
+
+
 def test_mapping_types(spark):
     df = spark.createDataFrame([("ApplyMap('M', k)", 1, False, False, False), ("1", 0, False, False, False), ("Sum(x)", 1, True, False, False), ("x", 1, False, True, True), ("x", 1, False, True, False), ("Median(x)", 1, True, False, False)], "e string, n int, g boolean, p boolean, j boolean")
     args = [F.col(c) for c in "engpj"]
