@@ -1,14 +1,14 @@
 """From raw documents to token ids: quality, near-duplicates, secrets, source mix, encoding. Part of loadflow.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. Its rows are written as
-Parquet and read again for the next one. All stages but the last return the columns of documents. When a stage begins, the
-tables that its predecessor's operator wrote on the way are deleted, so that scratch space stays that of one stage.
+Parquet and read again for the next one. All stages but the last return the columns of documents. run() deletes the
+tables that a stage's operator wrote on the way as soon as the stage's rows are written, so that scratch space stays that of one stage;
+who calls a stage alone keeps them as long as its result is read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,48 +20,27 @@ from loadflow.sources.shared import recorded, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Tables behind the stage that was built last; its result has been written when the next stage begins.
-_behind: list[str] = []
-
-
-def tidy(stage: Stage) -> Stage:
-    @wraps(stage)
-    def build(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _behind)
-        with recorded() as paths:
-            out = stage(spark, docs, sf_dir)
-        _behind[:] = paths
-        return out
-
-    return build
-
-
-@tidy
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     judged = quality_qda.classify(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
     return judged.where(F.col("predicted") == 1).select(*docs.columns)
 
 
-@tidy
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return simhash.one_of_each(docs)
 
 
-@tidy
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; live credentials are replaced by a mark."""
     return secret_scan.redact(docs)
 
 
-@tidy
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them, a row for each round over a source; see mixing.mix_documents."""
     return mixing.mix_documents(docs)
 
 
-@tidy
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded text for each row."""
     return bpe.encode_documents(docs, tokenizer_path())
@@ -82,9 +61,10 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
+        with recorded() as behind:
+            out = stage(spark, docs, sf_dir)
         with recorded() as made:
             docs = written(out)
-        release(spark, before)
+        release(spark, behind + before)
         before = made
     return docs
