@@ -10,7 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from loadflow.llm import mixing, queries
+from loadflow.llm import mixing, quality_qda, queries, secret_scan, simhash
 from test_operators import KINDS, WORD, brute_components, brute_fingerprint, words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -29,7 +29,7 @@ def features(text):
     ]
 
 
-def good_rows(rows, labels):
+def quality_scores(rows, labels):
     x = np.array([features(r["text"]) for r in rows])
     at = {r["doc_id"]: i for i, r in enumerate(rows)}
     known = {(r["doc_id"], r["quality"]) for r in labels if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["doc_id"] in at}
@@ -42,8 +42,18 @@ def good_rows(rows, labels):
         c = 0.98 * c + 0.02 * np.trace(c) / len(c) * np.eye(len(c))
         z = x - g.mean(axis=0)
         density.append(np.log(len(g) / len(known)) - np.linalg.slogdet(c)[1] / 2 - (z * np.linalg.solve(c, z.T).T).sum(axis=1) / 2)
-    score = 1 / (1 + np.exp(np.clip(density[0] - density[1], -500, 500)))
-    return [r for r, p in zip(rows, score) if p >= 0.7]
+    return 1 / (1 + np.exp(np.clip(density[0] - density[1], -500, 500)))
+
+
+def test_quality_scores_against_numpy(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    edges = spark.createDataFrame([(10**9 + i, t, "en", "s", 0) for i, t in enumerate([None, "", " \n", "one", "a b c " * 3000, "### $$$ !!", "Ünï CODE ÄÖ. 漢字, 1 2 3\n\nx\nx"])], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [r.asDict() for r in documents.unionByName(edges).collect()]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = {r["doc_id"]: r["score"] for r in quality_qda.classify(documents.unionByName(edges), labels).collect()}
+    want = quality_scores(rows, labels.collect())
+    assert len(got) == len(rows) > 200
+    assert max(abs(got[r["doc_id"]] - w) for r, w in zip(rows, want)) < 1e-6
 
 
 def looks_live(v):
@@ -81,7 +91,8 @@ def test_pipeline_against_plain_python(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     sf_dir = str(tmp_path)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = good_rows([r.asDict() for r in documents.collect()], spark.read.parquet(f"{sf_dir}/labels.parquet").collect())
+    rows = [r.asDict() for r in documents.collect()]
+    rows = [r for r, p in zip(rows, quality_scores(rows, spark.read.parquet(f"{sf_dir}/labels.parquet").collect())) if p >= 0.7]
     first = brute_components([r["doc_id"] for r in rows], [brute_fingerprint(r["text"]) for r in rows])
     rows = redacted([r for r, d in zip(rows, first) if r["doc_id"] == d])
     assert 50 < len(rows) < documents.count() and any("[SECRET]" in r["text"] and "AKIACOPIED" in r["text"] for r in rows)
@@ -102,3 +113,79 @@ def test_pipeline_against_plain_python(spark, sf_dir, tmp_path):
         back = library.decode(found, skip_special_tokens=False)
         want[d, len(found), hashlib.sha256(" ".join(map(str, found)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()] += 1
     assert Counter(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == want
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline
+
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality classifier", "near-dedup", "secret scan", "source mix", "bpe"]
+    docs, kept = documents, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(spark, docs, sf_dir))
+        if name != "bpe":
+            assert docs.columns == documents.columns
+        kept.append(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = {r["doc_id"] for r in quality_qda.classify(documents, labels).where("predicted = 1").collect()}
+    assert {r["doc_id"] for r in kept[0].collect()} == good
+    assert {r["doc_id"] for r in kept[1].collect()} == {r["component_id"] for r in simhash.near_duplicates(kept[0]).collect()}
+    assert kept[2].count() == kept[1].count()
+    assert secret_scan.digest(kept[2]).where("n_live > 0").count() == 0
+    taken = {r["doc_id"] for r in mixing.taken(kept[2]).where("taken > 0").collect()}
+    assert {r["doc_id"] for r in kept[3].collect()} >= taken
+    assert kept[4].count() == kept[3].count()
+    assert Counter(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == Counter(map(tuple, kept[4].collect()))
+
+
+def edge_tables(spark, folder, where="true"):
+    """Documents with nulls in every column, empty and long texts, repeated rows, and columns with names that stages use; labels of some."""
+    data = [(i, " ".join(f"w{(i * k) % 97}" for k in range(1, 40)) + (f"\npassword=Own{i}Secret9x" if i % 5 == 0 else ""), "en", f"s{i % 3}", None) for i in range(60)]
+    data += [data[3]] * 3 + [(None, "no id " + "x y z " * 20, None, None, 5), (61, None, "en", "s1", None), (62, "", "de", None, 0), (63, " \n\t", None, "s2", 3), (64, " ".join(f"long{i % 1009}" for i in range(30_000)), "en", "s0", 1), (None, None, None, None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("row", "rid", "key", "size", "hits", "n", "predicted", "fp"):
+        df = df.withColumn(c, F.lit("clash"))
+    df.where(where).write.parquet(f"{folder}/documents.parquet")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (61, None, 0), (62, 0, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_stages_on_edge_cases(spark, tmp_path):
+    import corpus_pipeline
+
+    documents = edge_tables(spark, str(tmp_path))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, documents, str(tmp_path))
+        rows = out.collect()
+        if name != "bpe":
+            assert out.columns == documents.columns and all(r["row"] == "clash" for r in rows)
+            assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in documents.collect()}
+        if name in ("secret scan", "bpe"):
+            assert len(rows) == documents.count()
+        if name == "near-dedup":
+            assert Counter(r["doc_id"] for r in rows)[3] == 1 and sum(not WORD.search(r["text"] or "") for r in rows) == 1
+        if name == "source mix":
+            assert sum(not WORD.search(r["text"] or "") for r in rows) == 4  # rows without words stay
+    assert {c for c in corpus_pipeline.run(spark, str(tmp_path)).columns} >= {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+@pytest.mark.parametrize("where", ["false", "text is null"])
+def test_pipeline_of_nothing(spark, tmp_path, where):
+    import corpus_pipeline
+
+    documents = edge_tables(spark, str(tmp_path), where)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, documents, str(tmp_path))
+        assert out.count() <= documents.count() and (name == "bpe" or out.columns == documents.columns)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() <= documents.count()
+
+
+def test_two_pipelines_at_a_time(spark, sf_dir):
+    """Stages of one don't delete the other's tables."""
+    import corpus_pipeline
+
+    first, second = (corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir) for _ in range(2))
+    third = corpus_pipeline.STAGES[1][1](spark, second, sf_dir)
+    assert first.count() == second.count() >= third.count()

@@ -48,28 +48,3 @@ def test_encoded_documents(docs, rows, library):
         want[r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), tuple(ids)] += 1
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], tuple(r["ids"])) for r in got) == want
     assert bpe.encode_documents(docs.where("false"), queries.tokenizer_path()).count() == 0
-
-
-def test_pipeline_stages(spark, sf_dir):
-    import corpus_pipeline
-    from loadflow.llm import mixing, quality_qda, secret_scan, simhash
-
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["quality classifier", "near-dedup", "secret scan", "source mix", "bpe"]
-    docs, kept = documents, []
-    for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.written(stage(spark, docs, sf_dir))
-        if name != "bpe":
-            assert docs.columns == documents.columns
-        kept.append(docs)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = {r["doc_id"] for r in quality_qda.classify(documents, labels).where("predicted = 1").collect()}
-    assert {r["doc_id"] for r in kept[0].collect()} == good
-    assert {r["doc_id"] for r in kept[1].collect()} == {r["component_id"] for r in simhash.near_duplicates(kept[0]).collect()}
-    assert kept[2].count() == kept[1].count()
-    assert secret_scan.digest(kept[2]).where("n_live > 0").count() == 0
-    taken = {r["doc_id"] for r in mixing.taken(kept[2]).where("taken > 0").collect()}
-    assert {r["doc_id"] for r in kept[3].collect()} >= taken
-    assert kept[4].count() == kept[3].count()
-    assert Counter(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == Counter(map(tuple, kept[4].collect()))
