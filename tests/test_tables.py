@@ -147,6 +147,16 @@ def test_each_file_and_text(spark, tmp_path):
     assert rows(readers.autogenerate(spark, 2)) == [(1,), (2,)]
 
 
+def test_database_in_ranges(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    df = spark.range(100).select("id", (F.col("id") * 2).alias("twice"))
+    df.write.format("jdbc").option("url", url).option("dbtable", "numbers").save()
+    whole = readers.load_jdbc(spark, url, "numbers")
+    parts = readers.load_jdbc(spark, url, "(select * from numbers where \"id\" >= 10) t", column="id", low=10, high=100, parts=3, fetchsize="10")
+    assert whole.count() == 100 and parts.rdd.getNumPartitions() == 3
+    assert rows(parts) == rows(df.where("id >= 10"))
+
+
 def test_referenced_columns(spark):
     cases = {"Num(UnitPrice) * Num(Quantity)": ["UnitPrice", "Quantity"], "if([A b] = 'x, y', \"C d\", null())": ["A b", "C d"], "'only text'": [], "a & A & a": ["a", "A"], None: [], "Größe * Num (a$1) + [Sales f(x)]": ["Größe", "a$1", "Sales f(x)"], "if(x=1,'Y','N')": ["x"]}
     df = spark.createDataFrame([(k,) for k in cases], "e string")
