@@ -23,6 +23,8 @@ from pyspark.sql.window import Window
 from loadflow.llm.common import written
 
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: What packed rows hold, for Spark and for Arrow.
+QUERY_FIELDS = {"dim int": pa.int32(), "ids binary": pa.binary(), "rids binary": pa.binary()}
 
 
 def quantised(x: np.ndarray, scale: int) -> np.ndarray:
@@ -97,7 +99,7 @@ def chosen(planes: list[np.ndarray], left: np.ndarray, most: int) -> tuple[np.nd
 class Block:
     """Some rows of one length, in order of their ids: per attribute its least value and the slices of what is above that."""
 
-    SCHEMA = "dim int, ids binary, rids binary, low array<string>, width array<int>, planes binary"
+    FIELDS = QUERY_FIELDS | {"low array<string>": pa.list_(pa.string()), "width array<int>": pa.list_(pa.int32()), "planes binary": pa.binary()}
 
     @staticmethod
     def pack(ids: np.ndarray, rids: np.ndarray, x: np.ndarray, scale: int) -> list:
@@ -140,18 +142,17 @@ class Block:
         return i, j, score.astype(object) + back[i]
 
 
-def packed(rows: DataFrame, n: int, schema: str, pack: Callable[[np.ndarray, np.ndarray, np.ndarray], list]) -> DataFrame:
+def packed(rows: DataFrame, n: int, fields: dict[str, pa.DataType], pack: Callable[[np.ndarray, np.ndarray, np.ndarray], list]) -> DataFrame:
     """rows(vec_id, rid, v) in blocks of at most n rows, each of vectors of one length, as tasks read them."""
-    names = [f.partition(" ")[0] for f in schema.split(", ")]
+    names = [f.partition(" ")[0] for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
-        types = [pa.int32(), pa.binary(), pa.binary(), *([pa.list_(pa.string()), pa.list_(pa.int32())] if len(names) == 6 else []), pa.binary()]
 
         def out(some: list[tuple]) -> pa.RecordBatch:
             ids, rids, vs = zip(*some, strict=True)
             values = pack(np.array(ids, np.int64), np.array(rids, np.int64), np.stack(vs))
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, fields.values(), strict=True)], names)
 
         count = 0
         for b in batches:
@@ -168,7 +169,7 @@ def packed(rows: DataFrame, n: int, schema: str, pack: Callable[[np.ndarray, np.
                     held, count = {}, 0
         yield from map(out, held.values())
 
-    return rows.select("vec_id", "rid", "v").mapInArrow(run, schema)
+    return rows.select("vec_id", "rid", "v").mapInArrow(run, ", ".join(fields))
 
 
 def top_k(rows: DataFrame, is_query: Callable[[Column], Column], k: int = 5, scale: int = 256, rows_in_block: int = 4096, queries_in_block: int = 128, score: str = "long") -> DataFrame:
@@ -184,9 +185,9 @@ def top_k(rows: DataFrame, is_query: Callable[[Column], Column], k: int = 5, sca
     good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     base = rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & good).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
     base = written(base, row_id="rid")
-    index = written(packed(base, rows_in_block, Block.SCHEMA, lambda ids, rids, v: Block.pack(ids, rids, v, scale)), row_id="block")
+    index = written(packed(base, rows_in_block, Block.FIELDS, lambda ids, rids, v: Block.pack(ids, rids, v, scale)), row_id="block")
     raw = lambda ids, rids, v: [v.shape[1], ids.tobytes(), rids.tobytes(), v.tobytes()]
-    queries = written(packed(base.where(is_query(F.col("vec_id"))), queries_in_block, "dim int, ids binary, rids binary, v binary", raw), row_id="block")
+    queries = written(packed(base.where(is_query(F.col("vec_id"))), queries_in_block, QUERY_FIELDS | {"v binary": pa.binary()}, raw), row_id="block")
     wide = 2 * rows.sparkSession.sparkContext.defaultParallelism
     n = [max(1, -(-blocks // max(1, min(32, blocks // wide)))) for blocks in (index.count(), queries.count())]
     group = lambda of: F.pmod(F.xxhash64("block"), F.lit(of)).cast("int")
