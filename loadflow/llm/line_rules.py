@@ -10,15 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadflow.llm.common import SPACE, count_words, hot_join, let, running, text_id, words_of, written
+from loadflow.llm.common import SPACE, hot_join, let, running, text_id, words_of, written
 
 #: Words in a window that may not repeat too often within a document.
 WINDOW = 5
 
 
+def normal(line: Column) -> Column:
+    """A line in lower case with digits as one sign and white space as one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), SPACE, " "))
+
+
+def words_in(normal_line: Column) -> Column:
+    return (F.length(normal_line) - F.length(F.replace(normal_line, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
 def line_hash(line: Column) -> Column:
-    """Of a line in lower case with digits as one sign and white space as one space."""
-    return F.xxhash64(F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), SPACE, " ")))
+    return F.xxhash64(normal(line))
 
 
 def with_repeat_words(df: DataFrame, out: str) -> DataFrame:
@@ -26,8 +34,9 @@ def with_repeat_words(df: DataFrame, out: str) -> DataFrame:
 
     Sorting (hash, place) brings equal windows together; texts without any stop at a count of distinct hashes.
     """
-    each = F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(WINDOW)]))
-    df = df.withColumn("_h", F.when(F.size("w") >= WINDOW, each))
+    df = df.withColumn("_g", F.transform("w", lambda x: F.xxhash64(x)))
+    each = F.transform(F.sequence(F.lit(0), F.size("_g") - WINDOW), lambda i: F.xxhash64(*[F.get("_g", i + k) for k in range(WINDOW)]))
+    df = df.withColumn("_h", F.when(F.size("_g") >= WINDOW, each))
     pairs = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), pairs))
     near = lambda x, i: x["h"] == F.get("_s", i)["h"]
@@ -35,7 +44,7 @@ def with_repeat_words(df: DataFrame, out: str) -> DataFrame:
     df = df.withColumn("_p", F.sort_array(F.transform(again, lambda x: x["i"])))
     cover = F.transform("_p", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", i + 1) - x, F.lit(WINDOW))))
     total = F.aggregate(cover, F.lit(0), lambda a, x: a + x)
-    return df.withColumn(out, F.coalesce(total, F.lit(0)).cast("long")).drop("_h", "_s", "_p")
+    return df.withColumn(out, F.coalesce(total, F.lit(0)).cast("long")).drop("_g", "_h", "_s", "_p")
 
 
 def measured(docs: DataFrame, host_col: str, keep: list[str]) -> DataFrame:
@@ -54,7 +63,7 @@ def measured(docs: DataFrame, host_col: str, keep: list[str]) -> DataFrame:
         "row", "host", "text_id", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.regexp_replace("t", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
-        F.transform("l", lambda x: F.struct(line_hash(x).alias("h"), count_words(x).alias("n"))).alias("lines"),
+        F.transform(F.transform("l", normal), lambda x: F.struct(F.xxhash64(x).alias("h"), words_in(x).alias("n"))).alias("lines"),
     )
 
 
