@@ -187,7 +187,9 @@ def top_k(rows: DataFrame, is_query: Callable[[Column], Column], k: int = 5, sca
     base = written(base, row_id="rid")
     index = written(packed(base, rows_in_block, Block.FIELDS, lambda ids, rids, v: Block.pack(ids, rids, v, scale)), row_id="block")
     raw = lambda ids, rids, v: [v.shape[1], ids.tobytes(), rids.tobytes(), v.tobytes()]
-    queries = written(packed(base.where(is_query(F.col("vec_id"))), queries_in_block, QUERY_FIELDS | {"v binary": pa.binary()}, raw), row_id="block")
+    asked = base.where(is_query(F.col("vec_id")))
+    asked = asked.repartition(max(1, -(-asked.count() // (16 * queries_in_block))))  # few blocks that aren't full
+    queries = written(packed(asked, queries_in_block, QUERY_FIELDS | {"v binary": pa.binary()}, raw), row_id="block")
     wide = 2 * rows.sparkSession.sparkContext.defaultParallelism
     n = [max(1, -(-blocks // max(1, min(32, blocks // wide)))) for blocks in (index.count(), queries.count())]
     group = lambda of: F.pmod(F.xxhash64("block"), F.lit(of)).cast("int")
