@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadflow.llm import bpe, html_layout, line_rules, mixing, oracles, quality_qda, secret_scan, sharding, simhash, substring, topk_bitslice
+from loadflow.llm import bpe, html_layout, line_rules, mixing, oracles, packing, periodic, quality_qda, secret_scan, sharding, simhash, substring, topk_bitslice
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +75,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_mix_sources, op2_secret_scan, op3_hilbert_shards, op4_line_rules, op5_html_layout,
-    op6_topk_bitslice, op7_substring_dedup, op8_bpe, op9_quality_qda, op10_simhash, pipeline,
+    op6_topk_bitslice, op7_substring_dedup, op8_bpe, op9_quality_qda, op10_simhash,
+    op12_periodic_runs, op13_pattern_packing, pipeline,
 )
 
 
