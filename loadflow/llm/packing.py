@@ -176,17 +176,19 @@ def fit(left: np.ndarray, triples: np.ndarray, room: np.ndarray, rounds: int = 4
                 used |= own
                 steps += 1
                 share.setdefault(j, 0.0)
-        if not steps:
-            break
+        moved = 0.0
         for _ in range(2):
             for j in list(share):
                 x, y, z = int(a[j]), int(b[j]), int(c[j])
                 step = max((rest[x] + rest[y] + (rest[z] if z else 0.0) - cost[j]) / square[j], -share[j])
+                moved = max(moved, abs(step))
                 share[j] += step
                 rest[x] -= step
                 rest[y] -= step
                 if z:
                     rest[z] -= step
+        if not steps and moved < 1e-3:
+            break
     chosen = np.array([j for j, v in share.items() if v > 1e-6], np.int64)
     return triples[chosen], np.array([share[j] for j in chosen.tolist()])
 
