@@ -22,7 +22,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tiktoken._tiktoken import CoreBPE
 
 from loadflow.llm.bpe import WordBpe, portions
 from loadflow.llm.common import written
@@ -38,6 +37,8 @@ class Ids(WordBpe):
     LATIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 
     def __init__(self, path: str, memo: int = 300_000):
+        from tiktoken import Encoding
+
         super().__init__(path, memo)
         # A byte that no text holds ends a word, and joins the last letter before any merge.
         byte, end = {c: bytes([b]) for b, c in enumerate(self.letters)}, b"\xff"
@@ -47,7 +48,7 @@ class Ids(WordBpe):
         last = [b + end for b in byte.values() if b + end in known]
         order = [bytes([b]) for b in range(256)] + last + [t for _, t in merged]
         self.of_rank = [known.get(t) for t in order]
-        self.merge = CoreBPE({t: r for r, t in enumerate(order)}, {}, ".").encode_single_piece
+        self.merge = Encoding("word ends", pat_str=".", mergeable_ranks={t: r for r, t in enumerate(order)}, special_tokens={})._encode_single_piece
         self.stay: set[tuple[int, int]] = set()  # pairs found to be compatible
         self.pieces = lru_cache(maxsize=memo)(self._piece)
         self.chunks = lru_cache(maxsize=memo)(self._ids)
