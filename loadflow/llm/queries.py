@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loadflow.llm import bpe, html_layout, line_rules, mixing, oracles, packing, periodic, quality_qda, secret_scan, sharding, simhash, substring, topk_bitslice
+from loadflow.llm import bpe, hard_negatives, html_layout, line_rules, mixing, oracles, packing, periodic, quality_qda, secret_scan, sharding, simhash, substring, topk_bitslice
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, shifted)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(table(spark, sf_dir, "documents"))
 
@@ -76,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     op1_mix_sources, op2_secret_scan, op3_hilbert_shards, op4_line_rules, op5_html_layout,
     op6_topk_bitslice, op7_substring_dedup, op8_bpe, op9_quality_qda, op10_simhash,
-    op12_periodic_runs, op13_pattern_packing, pipeline,
+    op11_hard_negatives, op12_periodic_runs, op13_pattern_packing, pipeline,
 )
 
 
