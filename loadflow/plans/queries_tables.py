@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loadflow.operators import aggregates as A
 from loadflow.operators import mapping, ordered, tables
 from loadflow.plans.common import query, table
-from loadflow.sources import landing, readers, shared, sinks
+from loadflow.sources import landing, publish, readers, shared, sinks
 from loadflow.sources.shared import shared_dir
 
 
@@ -155,7 +155,28 @@ def s15_save(spark: SparkSession, sf: str) -> DataFrame:
     o, name = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), f"s15_{uuid.uuid4().hex}"
     sinks.rebuild(o.where("o_orderstatus = 'P'"), name)
     sinks.save(o.where("o_orderstatus = 'F'"), name, overwrite=True)
-    sinks.save(o.where("o_orderstatus <> 'F'"), name)
+    sinks.save(o.where("o_orderstatus <> 'F'"), name, overwrite=False)
+    return spark.table(name)
+
+
+@query("SELECT o_orderkey, o_orderstatus, CAST(2 AS INTEGER) AS loads FROM orders")
+def s13_store_over_itself(spark: SparkSession, sf: str) -> DataFrame:
+    """A history is read, grows by the orders it lacks, and is stored where it was read; then once more under a pointer."""
+    o, path = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), _scratch(spark)
+    sinks.store(o.where("o_orderstatus = 'F'").withColumn("loads", F.lit(1)), path)
+    history = readers.load_parquet(spark, path)
+    sinks.store(landing.append_new(history, o.withColumn("loads", F.lit(1)), ["o_orderkey"]), path)
+    publish.publish(readers.load_parquet(spark, path), f"{path}_published")
+    publish.publish(publish.published(spark, f"{path}_published").withColumn("loads", F.col("loads") + 1), f"{path}_published")
+    return publish.published(spark, f"{path}_published")
+
+
+@query("SELECT o_orderstatus, 2 * count(*) AS n FROM orders GROUP BY 1")
+def s14_rebuild_from_itself(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of the catalog that is rebuilt from its own rows."""
+    name = f"s14_{uuid.uuid4().hex}"
+    sinks.rebuild(table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")), name)
+    sinks.rebuild(spark.table(name).withColumn("n", F.col("n") * 2), name)
     return spark.table(name)
 
 

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loadflow.sources.publish import recover
+
 
 def load_parquet(spark: SparkSession, path: str, *fields: str) -> DataFrame:
-    """A columnar extract; only the fields named are read."""
-    df = spark.read.parquet(path)
+    """A columnar extract; only the fields named are read. One whose store was killed between its renames is put right first."""
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException:
+        recover(spark, path)
+        df = spark.read.parquet(path)
     return df.select(*[F.col(f"`{f}`") for f in fields]) if fields else df
 
 

@@ -127,9 +127,9 @@ def test_sinks_round_trip(spark, tmp_path):
     sinks.store(df, f"{tmp_path}/t")
     assert readers.load_parquet(spark, f"{tmp_path}/t").count() == 5
     sinks.rebuild(df, "sink_test")
-    sinks.save(df, "sink_test")
+    sinks.save(df, "sink_test", overwrite=False)
     assert spark.table("sink_test").count() == 10
-    sinks.save(df, "sink_test", overwrite=True)
+    sinks.save(df, "sink_test")  # a rerun puts its rows in place of those
     assert spark.table("sink_test").count() == 5
     sinks.materialise(df, "stage_view", "staging")
     sinks.materialise(df, "sales_fact_t", "mart")
