@@ -88,6 +88,31 @@ def s9_latest_per_key(spark: SparkSession, sf: str) -> DataFrame:
     return landing.latest(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
 
 
+_MERGED = """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 AND o_orderpriority <> '3-MEDIUM' THEN 'x' ELSE o_orderstatus END AS status, o_orderpriority FROM orders
+  WHERE NOT (o_orderkey % 7 = 0 AND o_orderpriority <> '3-MEDIUM')"""
+
+
+def _merge_orders(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    """Of stored orders (without those of every third customer), all priorities but one are loaded anew: with new orders, changed ones (every fifth) and deleted ones (every seventh)."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), "o_orderpriority")
+    landing.merge(spark, path, o.where("o_custkey % 3 <> 0 or o_orderpriority = '3-MEDIUM'"), ["o_orderkey"], ["o_orderpriority"])
+    anew = o.where("o_orderpriority <> '3-MEDIUM' and o_orderkey % 7 <> 0")
+    anew = anew.withColumn("status", F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(F.col("status")))
+    return landing.merge(spark, path, anew, ["o_orderkey"], ["o_orderpriority"], complete=True)
+
+
+@query(_MERGED)
+def s9_merge(spark: SparkSession, sf: str) -> DataFrame:
+    _merge_orders(spark, sf, path := _scratch(spark))
+    return spark.read.schema("o_orderkey long, o_custkey long, status string, o_orderpriority string").parquet(path)
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_custkey % 3 <> 0 THEN 'deleted' END WHEN o_custkey % 3 = 0 THEN 'new'
+  WHEN o_orderkey % 5 = 0 AND o_orderstatus <> 'x' THEN 'changed' END AS kind FROM orders WHERE o_orderpriority <> '3-MEDIUM') WHERE kind IS NOT NULL GROUP BY 1""")
+def s9_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return _merge_orders(spark, sf, _scratch(spark)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _raw_orders(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     return o.select(
