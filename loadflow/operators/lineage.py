@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,13 +94,42 @@ def with_passed_through(deps: DataFrame, joins: DataFrame, outputs: DataFrame, t
         known = known.unionByName(refs.select("script", "_t", "_c"))
 
 
+def _heads(points: DataFrame) -> DataFrame:
+    """(up, head): of each column that has one dependency, and that on another column: the first column down its chain that has not.
+
+    Chains are followed by pointer jumping: each step doubles the distance, and a table has a row a column. A chain that ends in a ring
+    of such columns has no source; its rows point into the ring for good.
+    """
+    single = points.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.count("up").alias("_open"), F.first("up").alias("head"))
+    heads = written(single.where("_n = 1 and _open = 1").select(F.col("node").alias("up"), "head"))
+    n, steps = heads.count(), 0
+    while n and 1 << steps <= n:
+        ahead = heads.select(F.col("up").alias("head"), F.col("head").alias("_next"))
+        heads = written(heads.join(ahead, "head", "left").select("up", F.coalesce("_next", "head").alias("head"), F.col("_next").isNotNull().alias("_moved")))
+        moved = not heads.where("_moved").isEmpty()
+        heads, steps = heads.drop("_moved"), steps + 1
+        if not moved:
+            break
+    return heads
+
+
+def _grown(first: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """first and all that step gives for it, for what is new in that, and so on; each row once. Every round is a written table of the new rows."""
+    new = known = written(first.distinct())
+    while not new.isEmpty():
+        new = written(step(new).distinct().join(known, keys, "left_anti"))
+        known = known.unionByName(new)
+    return known
+
+
 def ultimate_sources(deps: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """M4: script, tbl, col, source, source_col: the external columns that each column comes from, each once.
 
-    Every column points at those that it depends on. A step lets it point at what these point at, which doubles the distance; an external
-    column is pointed at for good, and what has no deps of its own is dropped. So the number of steps is the logarithm of the
-    depth; cycles end as no way to a source is longer than the number of columns. Each step is a written table, keyed by 128 bits a column.
-    starts: only these columns. See with_passed_through for columns that a table hands on without listing them.
+    Columns with a single dependency are skipped over first (see _heads), however long their chains. Among the others every source is
+    handed on to the columns that depend on it, round by round, and only what is new to a column goes further: so cycles end, all tables
+    together hold each column's sources once, and the rounds are those of the longest way past columns with several
+    dependencies. Columns are 128 bits. starts: only these columns; then columns that they don't come from are left out of the rounds.
+    See with_passed_through for columns that a table hands on without listing them.
     """
     deps = deps.select(*_KEY, "upstream", "up_col", F.coalesce("external", F.lit(False)).alias("external"))
     own = deps.select(
@@ -106,16 +137,21 @@ def ultimate_sources(deps: DataFrame, starts: DataFrame | None = None) -> DataFr
         F.when(F.col("external"), F.col("upstream")).alias("source"), F.when(F.col("external"), F.col("up_col")).alias("source_col"),
     )
     points = written(own.distinct())
-    size = points.agg(F.count(F.lit(1)).alias("n"), F.count("up").alias("open")).first()
-    left, steps = size["open"], 0
-    while left and 1 << steps <= size["n"]:
-        to = points.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("source").alias("_source"), F.col("source_col").alias("_col"))
-        ahead = points.where("up is not null").select("node", "up").join(to, "up").select("node", F.col("_up").alias("up"), F.col("_source").alias("source"), F.col("_col").alias("source_col"))
-        points = written(points.where("up is null").unionByName(ahead).distinct())
-        left, steps = points.where("up is not null").count(), steps + 1
-    found = points.where("up is null").select("node", "source", "source_col")
+    heads = _heads(points)
     names = (starts if starts is not None else deps).select(*_KEY).distinct().withColumn("node", _node("tbl", "col"))
-    return names.join(found, "node").select(*_KEY, "source", "source_col")
+    names = names.join(heads.withColumnRenamed("up", "node"), "node", "left").select(*_KEY, F.coalesce("head", "node").alias("node"))
+    core = points.join(heads.select(F.col("up").alias("node")), "node", "left_anti")
+    edges = core.where("up is not null").select("node", "up").join(heads, "up", "left").select("node", F.coalesce("head", "up").alias("up"))
+    edges = written(edges.distinct())
+    found = core.where("up is null").select("node", "source", "source_col")
+    if starts is not None:
+        down = lambda new: new.join(edges, "node").select(F.col("up").alias("node"))
+        used = _grown(names.select("node"), down, ["node"])
+        edges, found = edges.join(used, "node", "left_semi"), found.join(used, "node", "left_semi")
+    up = lambda new: edges.join(new.withColumnRenamed("node", "up"), "up").select("node", "source", "source_col")
+    found = found.select("node", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("source_col", F.lit("")).alias("source_col"))
+    reached = _grown(found, up, ["node", "source", "source_col"])
+    return names.join(reached, "node").select(*_KEY, "source", "source_col")
 
 
 def table_edges(deps: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loadflow.sources.shared import written
+from loadflow.sources.shared import spread, written
 
 
 def peek(df: DataFrame, field: Column, out: str, order_by: list, partition_by: list | None = None, back: int = 1) -> DataFrame:
@@ -31,12 +31,15 @@ def row_numbers(df: DataFrame, out: str, order_by: list, partition_by: list | No
     """W5 (own choice): numbers from 1, gapless, in the order; within each partition_by if given.
 
     Global numbers: rows are dealt by ranges of the order and sorted within, a written table fixes the places, and a
-    prefix sum over the counts of the ranges (one row each) gives every range's first number.
+    prefix sum over the counts of the ranges (one row each) gives every range's first number. Ranges end inside of one order value too, by a hash of the
+    row, so that rows with one value, however many, are dealt to all tasks; which of them comes first is open.
     """
     if partition_by:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*partition_by).orderBy(*order_by)).cast("long"))
     place = F.monotonically_increasing_id()
-    ranged = written(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_place", place))
+    tied = [*order_by, "_tie"]
+    dealt = df.withColumn("_tie", spread(df)).repartitionByRange(*tied).sortWithinPartitions(*tied)
+    ranged = written(dealt.drop("_tie").withColumn("_place", place))
     at = F.shiftright("_place", 33)
     counts = ranged.groupBy(at.alias("_range")).agg(F.count(F.lit(1)).alias("_count"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

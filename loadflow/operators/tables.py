@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loadflow.sources.shared import spread, written
+
 JOIN_KINDS = ("inner", "left", "right", "full")
 
 
@@ -66,6 +69,59 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "inner", allow_cr
     return left.join(_spelled_like(left, right), keys, how)
 
 
+def hot_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """Distinct keys that hold more than about `share` of df's rows (a few with less may be among them); 1 / share at most.
+
+    A sketch of frequent items over hashes of the keys, in one pass without a shuffle; then the keys with such a hash.
+    """
+    hashed = df.select(F.xxhash64(*map(quoted, keys)).alias("_h"), *map(quoted, keys)).where(_no_nulls(keys))
+    frequent = hashed.select("_h").stat.freqItems(["_h"], share).first()
+    return hashed.where(F.col("_h").isin(list(frequent[0] or []) if frequent else [])).select(*map(quoted, keys)).distinct()
+
+
+def _no_nulls(keys: list[str]) -> Column:
+    return reduce(Column.__and__, [quoted(k).isNotNull() for k in keys])
+
+
+def skewed_join(left: DataFrame, right: DataFrame, how: str = "inner", share: float | None = None, salts: int | None = None) -> DataFrame:
+    """J2-J5 for keys that hold a large part of a table: the rows of natural_join, with hot keys dealt over many tasks.
+
+    A key is hot in a table with more than `share` of its rows (default: those of a quarter of a shuffle partition). Rows of the table in which it is hot get one of
+    `salts` numbers, and the other table's rows of that key come once with each. A key that is hot in both is salted in left alone. Rows with a
+    null in their key match nothing: those that the join keeps go past the shuffle. Hot keys are found when this is called, in one pass over each
+    table; they are 2 / share at most, and so are broadcast.
+    """
+    keys = shared_columns(left, right)
+    if not keys or how not in JOIN_KINDS:
+        return natural_join(left, right, how)
+    spark = left.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share, salts = share or 1 / (4 * parts), salts or parts
+    right = _spelled_like(left, right)
+    lefts, rights = [written(hot_keys(df, keys, share)) for df in (left, right)]
+    hot = lefts.withColumn("_in", F.lit("left")).unionByName(rights.join(lefts, keys, "left_anti").withColumn("_in", F.lit("right")))
+    hot = written(hot)
+
+    def salted(df: DataFrame, side: str) -> DataFrame:
+        df = df.withColumn("_tie", spread(df)).where(_no_nulls(keys)).join(F.broadcast(hot), keys, "left")
+        one = F.array(F.pmod("_tie", F.lit(salts)).cast("int"))
+        copies = F.when(F.col("_in") == side, one).when(F.col("_in").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        return df.withColumn("_salt", F.explode(copies)).drop("_tie")
+
+    a = salted(left, "left").withColumnRenamed("_in", "_hot_l").withColumn("_l", F.lit(True))
+    b = salted(right, "right").withColumnRenamed("_in", "_hot_r").withColumn("_r", F.lit(True))
+    out = a.join(b, [*keys, "_salt"], how)
+    # A copy without a partner says nothing: a key that is hot in the other table has partners there, at other salts.
+    copied_l, copied_r = F.col("_r").isNull() & (F.col("_hot_l") == "right"), F.col("_l").isNull() & (F.col("_hot_r") == "left")
+    out = out.where(~F.coalesce(copied_l, F.lit(False)) & ~F.coalesce(copied_r, F.lit(False)))
+    names = [*keys, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys]]
+    out = out.select(*map(quoted, names))
+    for df, kinds in ((left, ("left", "full")), (right, ("right", "full"))):
+        if how in kinds:
+            out = out.unionByName(df.where(~_no_nulls(keys)), allowMissingColumns=True)
+    return out
+
+
 def join_all(base: DataFrame, joins: Iterable[tuple[DataFrame, str]]) -> DataFrame:
     """Several natural joins on one base in order; each sees the columns that those before it brought."""
     for right, how in joins:

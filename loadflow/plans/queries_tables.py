@@ -295,6 +295,34 @@ def j5_full_join(spark: SparkSession, sf: str) -> DataFrame:
     return tables.natural_join(*_keyed(spark, sf), "full")
 
 
+_HOT_L = "(SELECT CASE WHEN l_orderkey % 3 = 0 THEN 7 WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_partkey END AS key, l_orderkey, l_linenumber FROM lineitem)"
+_HOT_P = "(SELECT CASE WHEN p_size < 5 THEN p_partkey + 1000000000 WHEN p_size > 48 THEN NULL ELSE p_partkey END AS key, p_name, p_brand FROM part)"
+
+
+def _hot_keyed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of which a third has one key and some have none, and parts of which some have none and some one that no line has."""
+    key = F.when(F.col("l_orderkey") % 3 == 0, 7).when(F.col("l_orderkey") % 7 == 0, None).otherwise(F.col("l_partkey"))
+    part = F.when(F.col("p_size") < 5, F.col("p_partkey") + 1_000_000_000).when(F.col("p_size") > 48, None).otherwise(F.col("p_partkey"))
+    return table(spark, sf, "lineitem").select(key.alias("key"), "l_orderkey", "l_linenumber"), table(spark, sf, "part").select(part.alias("key"), "p_name", "p_brand")
+
+
+@query(f"SELECT key, l_orderkey, l_linenumber, p_name, p_brand FROM {_HOT_L} LEFT JOIN {_HOT_P} USING (key)")
+def j2_skewed_left_join(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.skewed_join(*_hot_keyed(spark, sf), "left")
+
+
+@query(f"SELECT key, l_orderkey, l_linenumber, p_name, p_brand FROM {_HOT_L} FULL JOIN {_HOT_P} USING (key)")
+def j5_skewed_full_join(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.skewed_join(*_hot_keyed(spark, sf), "full")
+
+
+@query("SELECT o_orderstatus, count(*) AS n, min(no) AS first, max(no) AS last FROM (SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderstatus) AS no FROM orders) GROUP BY 1")
+def w5_row_numbers_of_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers in an order of three values: each value's numbers are one range without gaps."""
+    numbered = ordered.row_numbers(table(spark, sf, "orders").select("o_orderstatus", "o_orderkey"), "no", ["o_orderstatus"])
+    return numbered.groupBy("o_orderstatus").agg(F.count_distinct("no").alias("n"), F.min("no").alias("first"), F.max("no").alias("last"))
+
+
 @query(f"SELECT 'left' AS side, count(*) AS n, count(DISTINCT PartKey) AS keys FROM {_L} WHERE EXISTS (FROM {_P} WHERE p.partkey = l.PartKey) UNION ALL SELECT 'right', count(*), count(DISTINCT partkey) FROM {_P} WHERE EXISTS (FROM {_L} WHERE p.partkey = l.PartKey)")
 def j6_keep(spark: SparkSession, sf: str) -> DataFrame:
     left, right = tables.keep(*_keyed(spark, sf), "inner")

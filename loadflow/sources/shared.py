@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,3 +65,13 @@ def written(df: DataFrame, row_id: str | None = None) -> DataFrame:
     for paths in _recorders:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> Column:
+    """A number that deals equal rows out: a hash of the row and of the task that reads it.
+
+    A repeated task gives its rows the same numbers, so that a shuffle by it survives lost executors; rows that are equal in all
+    columns stay together only as far as one task has read them.
+    """
+    own = [F.col("`" + f.name.replace("`", "``") + "`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.xxhash64(*own, F.spark_partition_id())

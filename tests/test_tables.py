@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +195,25 @@ def test_lineage_of_long_chains_cycles_and_dotted_names(spark):
     assert lineage.ultimate_sources(spark.createDataFrame([], DEPS)).count() == 0
 
 
+def test_lineage_writes_no_more_than_its_result(spark, monkeypatch):
+    """24 layers whose columns depend on four columns each: the tables on the way stay in proportion to the result."""
+    rnd, sizes, write = random.Random(1), [], lineage.written
+    deps = [("s", f"l{n}", f"c{i}", f"l{n - 1}" if n else "ext", f"c{j}" if n else f"e{i % 4}", n == 0) for n in range(24) for i in range(40) for j in rnd.sample(range(40), 4 if n else 1)]
+    reach = {}
+    for _, tbl, col, up, up_col, external in deps:
+        reach.setdefault((tbl, col), set()).update({(up, up_col)} if external else reach[up, up_col])
+
+    def seen(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(lineage, "written", seen)
+    found = rows(lineage.ultimate_sources(spark.createDataFrame(deps, DEPS)))
+    assert found == sorted([("s", *k, *x) for k, v in reach.items() for x in v], key=str)
+    assert sum(sizes) < 4 * (len(deps) + len(found))
+
+
 def test_lookups_and_columns_handed_on(spark):
     cols = spark.createDataFrame([("s", "t", "a", "ApplyMap('CountryMap', Code, 'x') & apply_map( \"Other\", k)"), ("s", "t", "b", "Code"), ("s", "t", "c", "ApplyMap('None', Code)"), ("z", "t", "a", "ApplyMap('CountryMap', Code)"), ("s", "t", "n", None)], "script string, tbl string, col string, expr string")
     maps = spark.createDataFrame([("s", "countrymap"), ("s", "Other")], "script string, map string")
