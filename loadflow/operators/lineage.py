@@ -71,12 +71,6 @@ def lookup_providers(columns: DataFrame, maps: DataFrame) -> DataFrame:
     return used.join(known, ["script", "_map"]).select(*_KEY, "upstream", F.lit("mapped_value").alias("up_col"), F.lit(False).alias("external"))
 
 
-def _node(tbl: str, col: str) -> Column:
-    """A column as 128 bits, without regard to case; table and column are kept apart."""
-    parts = (F.col("script"), F.lower(tbl), F.lower(col))
-    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
-
-
 def with_passed_through(deps: DataFrame, joins: DataFrame, outputs: DataFrame, tables: DataFrame) -> DataFrame:
     """M4: deps, and rows for columns that a table hands on without listing them: those that others name but the table's outputs
     lack come from its joined tables or its row source (see resolve_providers), and so on upward until nothing new is named."""
@@ -94,18 +88,33 @@ def with_passed_through(deps: DataFrame, joins: DataFrame, outputs: DataFrame, t
         known = known.unionByName(refs.select("script", "_t", "_c"))
 
 
-def _heads(points: DataFrame) -> DataFrame:
-    """(up, head): of each column that has one dependency, and that on another column: the first column down its chain that has not.
+_NODE, _UP, _SOURCE = ["n1", "n2"], ["u1", "u2"], ["s1", "s2"]
+
+
+def _bits(names: list[str], *parts: Column) -> list[Column]:
+    """128 bits of some values, as two columns: joins and sorts of numbers are the fast ones."""
+    return [F.xxhash64(*parts).alias(names[0]), F.xxhash64(F.lit(1), *parts).alias(names[1])]
+
+
+def _as(df: DataFrame, old: list[str], new: list[str]) -> DataFrame:
+    return df.withColumnsRenamed(dict(zip(old, new, strict=True)))
+
+
+def _heads(points: DataFrame) -> DataFrame | None:
+    """u1, u2, h1, h2: of each column that has one dependency, and that on another column, the first column down its chain that has not.
 
     Chains are followed by pointer jumping: each step doubles the distance, and a table has a row a column. A chain that ends in a ring
-    of such columns has no source; its rows point into the ring for good.
+    of such columns has no source; its rows point into the ring for good. None where no chain has two such columns.
     """
-    single = points.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.count("up").alias("_open"), F.first("up").alias("head"))
-    heads = written(single.where("_n = 1 and _open = 1").select(F.col("node").alias("up"), "head"))
+    single = points.groupBy(*_NODE).agg(F.count(F.lit(1)).alias("_n"), F.count("u1").alias("_open"), F.first("u1").alias("h1"), F.first("u2").alias("h2"))
+    heads = written(_as(single.where("_n = 1 and _open = 1").select(*_NODE, "h1", "h2"), _NODE, _UP))
+    if heads.join(heads.select(F.col("h1").alias("u1"), F.col("h2").alias("u2")), _UP, "left_semi").isEmpty():
+        return None
     n, steps = heads.count(), 0
-    while n and 1 << steps <= n:
-        ahead = heads.select(F.col("up").alias("head"), F.col("head").alias("_next"))
-        heads = written(heads.join(ahead, "head", "left").select("up", F.coalesce("_next", "head").alias("head"), F.col("_next").isNotNull().alias("_moved")))
+    while 1 << steps <= n:
+        ahead = heads.select(F.col("u1").alias("h1"), F.col("u2").alias("h2"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+        further = heads.join(ahead, ["h1", "h2"], "left")
+        heads = written(further.select(*_UP, F.coalesce("_h1", "h1").alias("h1"), F.coalesce("_h2", "h2").alias("h2"), F.col("_h1").isNotNull().alias("_moved")))
         moved = not heads.where("_moved").isEmpty()
         heads, steps = heads.drop("_moved"), steps + 1
         if not moved:
@@ -113,8 +122,18 @@ def _heads(points: DataFrame) -> DataFrame:
     return heads
 
 
-def _grown(first: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+def _skipped(df: DataFrame, heads: DataFrame | None, columns: list[str]) -> DataFrame:
+    """df with the heads of chains in place of the columns that stand in them."""
+    if heads is None:
+        return df
+    a, b = columns
+    out = _as(df, columns, _UP).join(heads, _UP, "left")
+    return out.withColumns({"h1": F.coalesce("h1", "u1"), "h2": F.coalesce("h2", "u2")}).drop(*_UP).withColumnsRenamed({"h1": a, "h2": b})
+
+
+def _grown(first: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """first and all that step gives for it, for what is new in that, and so on; each row once. Every round is a written table of the new rows."""
+    keys = first.columns
     new = known = written(first.distinct())
     while not new.isEmpty():
         new = written(step(new).distinct().join(known, keys, "left_anti"))
@@ -128,30 +147,29 @@ def ultimate_sources(deps: DataFrame, starts: DataFrame | None = None) -> DataFr
     Columns with a single dependency are skipped over first (see _heads), however long their chains. Among the others every source is
     handed on to the columns that depend on it, round by round, and only what is new to a column goes further: so cycles end, all tables
     together hold each column's sources once, and the rounds are those of the longest way past columns with several
-    dependencies. Columns are 128 bits. starts: only these columns; then columns that they don't come from are left out of the rounds.
+    dependencies. Columns and sources are 128 bits. starts: only these columns; then columns that they don't come from are left out of the rounds.
     See with_passed_through for columns that a table hands on without listing them.
     """
     deps = deps.select(*_KEY, "upstream", "up_col", F.coalesce("external", F.lit(False)).alias("external"))
+    node = lambda names, tbl, col: _bits(names, F.col("script"), F.lower(tbl), F.lower(col))
+    source = _bits(_SOURCE, F.col("upstream"), F.col("up_col"))
+    known = lambda cond, columns: [F.when(cond, c).alias(n) for n, c in columns]
     own = deps.select(
-        _node("tbl", "col").alias("node"), F.when(~F.col("external"), _node("upstream", "up_col")).alias("up"),
-        F.when(F.col("external"), F.col("upstream")).alias("source"), F.when(F.col("external"), F.col("up_col")).alias("source_col"),
+        *node(_NODE, "tbl", "col"), *known(~F.col("external"), zip(_UP, node(_UP, "upstream", "up_col"), strict=True)), *known(F.col("external"), zip(_SOURCE, source, strict=True)),
     )
     points = written(own.distinct())
+    sources = deps.where("external").select(*source, F.col("upstream").alias("source"), F.col("up_col").alias("source_col")).distinct()
     heads = _heads(points)
-    names = (starts if starts is not None else deps).select(*_KEY).distinct().withColumn("node", _node("tbl", "col"))
-    names = names.join(heads.withColumnRenamed("up", "node"), "node", "left").select(*_KEY, F.coalesce("head", "node").alias("node"))
-    core = points.join(heads.select(F.col("up").alias("node")), "node", "left_anti")
-    edges = core.where("up is not null").select("node", "up").join(heads, "up", "left").select("node", F.coalesce("head", "up").alias("up"))
-    edges = written(edges.distinct())
-    found = core.where("up is null").select("node", "source", "source_col")
+    names = _skipped((starts if starts is not None else deps).select(*_KEY).distinct().select(*_KEY, *node(_NODE, "tbl", "col")), heads, _NODE)
+    core = points if heads is None else points.join(_as(heads.select(*_UP), _UP, _NODE), _NODE, "left_anti")
+    edges = core.where("u1 is not null").select(*_NODE, *_UP)
+    edges = edges if heads is None else written(_skipped(edges, heads, _UP).distinct())
+    found = core.where("s1 is not null").select(*_NODE, *_SOURCE)
     if starts is not None:
-        down = lambda new: new.join(edges, "node").select(F.col("up").alias("node"))
-        used = _grown(names.select("node"), down, ["node"])
-        edges, found = edges.join(used, "node", "left_semi"), found.join(used, "node", "left_semi")
-    up = lambda new: edges.join(new.withColumnRenamed("node", "up"), "up").select("node", "source", "source_col")
-    found = found.select("node", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("source_col", F.lit("")).alias("source_col"))
-    reached = _grown(found, up, ["node", "source", "source_col"])
-    return names.join(reached, "node").select(*_KEY, "source", "source_col")
+        used = _grown(names.select(*_NODE), lambda new: _as(new.join(edges, _NODE).select(*_UP), _UP, _NODE))
+        edges, found = edges.join(used, _NODE, "left_semi"), found.join(used, _NODE, "left_semi")
+    reached = _grown(found, lambda new: edges.join(_as(new, _NODE, _UP), _UP).select(*_NODE, *_SOURCE))
+    return names.join(reached, _NODE).join(sources, _SOURCE).select(*_KEY, "source", "source_col")
 
 
 def table_edges(deps: DataFrame) -> DataFrame:
