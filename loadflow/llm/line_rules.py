@@ -87,12 +87,12 @@ def judged(docs: DataFrame, host_col: str, min_docs: int, max_share: float, max_
 
 
 def judge(
-    docs: DataFrame, host_col: str = "source", min_docs: int = 20, max_share: float = 0.05, max_docs: int = 1000, min_words: int = 5, max_removed: float = 0.8, keep: list[str] | None = None
+    docs: DataFrame, host_col: str = "source", min_docs: int = 2, max_share: float = 0.05, max_docs: int = 1000, min_words: int = 5, max_removed: float = 0.8, keep: list[str] | None = None
 ) -> DataFrame:
     """docs' columns in keep (doc_id), base counts, base_failed, n_removed (words in boilerplate lines), kept.
 
-    A line is boilerplate for a host if more than min_docs of the host's distinct documents have it, and more than max_share
-    of them or than max_docs. A document is depleted, and not kept, if fewer than min_words words are left or more than
+    A line is boilerplate for a host if more than max_share of the host's distinct documents have it, or more than max_docs; in small
+    hosts, more than min_docs in any case, so that a share of a few documents isn't one or two. A document is depleted, and not kept, if fewer than min_words words are left or more than
     max_removed of its words went. A null host is one host; null and empty texts have no words and fail the base
     rule. Repeated rows each get the same result.
     """
@@ -122,7 +122,7 @@ def without(text: Column, gone: Column) -> Column:
     return let(lines, cleaned)
 
 
-def clean(docs: DataFrame, host_col: str = "source", min_docs: int = 20, max_share: float = 0.05, max_docs: int = 1000, min_words: int = 5, max_removed: float = 0.8) -> DataFrame:
+def clean(docs: DataFrame, host_col: str = "source", min_docs: int = 2, max_share: float = 0.05, max_docs: int = 1000, min_words: int = 5, max_removed: float = 0.8) -> DataFrame:
     """The documents that judge keeps, in docs' columns, without their boilerplate lines. n_chars follows the text."""
     cols = docs.columns
     out = judged(docs, host_col, min_docs, max_share, max_docs, min_words, max_removed, cols, True).where("kept")

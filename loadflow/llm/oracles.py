@@ -38,7 +38,7 @@ c AS (SELECT rid, sum(least(5, coalesce(n - i, 5))) AS n_repeat FROM (SELECT rid
 t AS (SELECT host, t, first(l) AS l FROM k GROUP BY host, t),
 x AS (SELECT host, t, h, sum(n) AS n FROM (SELECT host, t, trim(regexp_replace(regexp_replace(lower(u), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS h,
   len(list_filter(string_split_regex(u, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n FROM (SELECT host, t, unnest(l) AS u FROM t)) GROUP BY ALL),
-o AS (SELECT host, h FROM x JOIN (SELECT host, count(*) AS m FROM t GROUP BY host) USING (host) GROUP BY host, h, m HAVING count(*) > 20 AND count(*) > least(m * 0.05, 1000)),
+o AS (SELECT host, h FROM x JOIN (SELECT host, count(*) AS m FROM t GROUP BY host) USING (host) GROUP BY host, h, m HAVING count(*) > 2 AND count(*) > least(m * 0.05, 1000)),
 r AS (SELECT host, t, sum(n) AS n_removed FROM x JOIN o USING (host, h) GROUP BY host, t),
 z AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed FROM k LEFT JOIN c USING (rid) LEFT JOIN r USING (host, t))
