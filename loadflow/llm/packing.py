@@ -281,7 +281,8 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     places, _ = plan(histogram, capacity)
     past = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "part", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_first"))
-    numbered = pieces.join(first, ["length", "part"]).withColumn("_k", F.col("k") + F.col("_first")).drop("part", "k", "_first")
+    # The counts grow with the tasks, a row for each length and task; they are never broadcast.
+    numbered = pieces.join(first.hint("merge"), ["length", "part"]).withColumn("_k", F.col("k") + F.col("_first")).drop("part", "k", "_first")
     columns = [c for c in numbered.columns if c != "_k"]
     # A length's first numbers are below 2^50, so that length and number make one sorted key.
     keys = (places[:, 0] << 50) | places[:, 1]
