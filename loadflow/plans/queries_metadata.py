@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadflow.operators import inventory, lineage
+from loadflow.operators import inventory, lineage, search
 from loadflow.plans.common import query, table
+from loadflow.sources.shared import shared_dir
 
 _COLUMNS = """(SELECT p_brand AS script, 'tab_' || p_type AS tbl, 'c' || p_partkey AS col, p_partkey AS pos, CASE WHEN p_size % 3 = 0 THEN 'mart' ELSE 'staging' END AS layer, CASE WHEN p_size % 2 = 0 THEN 'qvd' ELSE 'resident' END AS kind,
   CASE p_size % 6 WHEN 0 THEN 'ApplyMap(''M'', k' || p_size || ', ''none'')' WHEN 1 THEN '''fixed''' WHEN 2 THEN 'Sum("Unit Price") * Num(Qty)' WHEN 3 THEN 'key' || p_size WHEN 4 THEN 'if([' || p_name || '] = 1, a_1, a_1 & b)' ELSE 'Max(x) + 12' END AS expr,
@@ -144,6 +147,25 @@ def m8_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.retrieve(table(spark, sf, "documents").select("doc_id", "text"), "text", "The license, the", 20, "doc_id").select("doc_id", "score")
 
 
+@query("""SELECT doc_id, score FROM (SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 + (length(lower(text)) - length(replace(lower(text), 'license', ''))) / 7 AS INTEGER) AS score FROM documents)
+  WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""")
+def m8_search_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The same question as m8_retrieve, asked of a written index."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    search.build_index(table(spark, sf, "documents"), "text", "doc_id", path, buckets=8)
+    return search.search(spark, path, "The license, the", 20).withColumnRenamed("key", "doc_id").select("doc_id", "score")
+
+
+@query("""SELECT DISTINCT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 1000 = 1 THEN 'missing' ELSE 'changed' END AS kind FROM lineitem WHERE l_orderkey % 1000 = 1 OR l_orderkey % 1000 = 2 AND l_linenumber = 1
+  UNION ALL SELECT DISTINCT -l_orderkey - 1, l_linenumber, 'extra' FROM lineitem WHERE l_orderkey % 1000 = 3""")
+def m9_reconcile_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All lines against a copy that lacks some orders, has other quantities in some lines, and orders of its own."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+    other = li.withColumn("l_quantity", F.when((F.col("l_orderkey") % 1000 == 2) & (F.col("l_linenumber") == 1), F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    own = li.where("l_orderkey % 1000 = 3").withColumn("l_orderkey", -F.col("l_orderkey") - 1)
+    return search.reconcile_rows(li, other.where("l_orderkey % 1000 <> 1").unionByName(own), ["l_orderkey", "l_linenumber"])
+
+
 @query("""SELECT 'orders' AS name, count(*) AS source_rows, count(*) FILTER (o_orderstatus <> 'P') AS target_rows, CAST(sum(CAST(o_totalprice AS DECIMAL(38,4))) AS DOUBLE) AS source_sum, CAST(sum(CAST(o_totalprice AS DECIMAL(38,4))) FILTER (o_orderstatus <> 'P') AS DOUBLE) AS target_sum FROM orders
   UNION ALL SELECT 'customer', count(*), count(*), NULL, NULL FROM customer""")
 def m9_reconcile(spark: SparkSession, sf: str) -> DataFrame:
