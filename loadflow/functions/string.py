@@ -64,8 +64,8 @@ def Index(s: Column, sub: str) -> Column:
 
 
 def SubField(s: Column, delimiter: str, n: int) -> Column:
-    """the n-th part; from the end for negative n; empty beyond."""
-    return F.split_part(s, F.lit(delimiter), F.lit(n))
+    """the n-th part; from the end for negative n; empty beyond; null for 0, as parts count from 1."""
+    return F.split_part(s, F.lit(delimiter), F.lit(n)) if n else F.lit(None).cast("string")
 
 
 def SubFields(s: Column, delimiter: str) -> Column:
@@ -129,8 +129,8 @@ def TextBetween(s: Column, before: str, after: str) -> Column:
 
 
 def FindOneOf(s: Column, chars: str) -> Column:
-    """F33 (own choice): place of the first of these characters, 0 for none."""
-    found = [F.nullif(F.locate(c, s), F.lit(0)) for c in chars]
+    """F33 (own choice): place of the first of these characters, 0 for none, and if there are no characters."""
+    found = [F.nullif(F.locate(c, s), F.lit(0)) for c in chars] or [F.lit(None).cast("int")]
     first = F.least(*found) if len(found) > 1 else found[0]
     return F.when(s.isNotNull(), F.coalesce(first, F.lit(0)))
 

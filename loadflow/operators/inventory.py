@@ -21,11 +21,15 @@ def by_layer(columns: DataFrame) -> DataFrame:
 
 
 def effort(columns: DataFrame, joins: DataFrame) -> DataFrame:
-    """M7: script, tbl, score = 0.2 a field + 2 a join + 3 a warning + 2 if grouped; Low below 5, Medium below 12, else High."""
+    """M7: script, tbl, score = 0.2 a field + 2 a join + 3 a warning + 2 if grouped; Low below 5, Medium below 12, else High.
+
+    Joins find their tables without regard to case, as lineage does.
+    """
     a = columns.groupBy("script", "tbl").agg(F.count("col").alias("fields"), F.sum("n_warnings").alias("reviews"), F.max("grouped").alias("grouped"))
-    b = joins.groupBy("script", F.col("base_tbl").alias("tbl")).agg(F.count(F.lit(1)).alias("joins"))
+    a = a.withColumn("_t", F.lower("tbl"))
+    b = joins.groupBy("script", F.lower("base_tbl").alias("_t")).agg(F.count(F.lit(1)).alias("joins"))
     score = F.col("fields") * 0.2 + F.coalesce("joins", F.lit(0)) * 2 + F.coalesce("reviews", F.lit(0)) * 3 + F.when(F.col("grouped"), 2).otherwise(0)
-    df = a.join(b, ["script", "tbl"], "left").withColumn("score", F.round(score.cast("double"), 1))
+    df = a.join(b, ["script", "_t"], "left").withColumn("score", F.round(score.cast("double"), 1))
     return df.select("script", "tbl", "score", F.when(F.col("score") < 5, "Low").when(F.col("score") < 12, "Medium").otherwise("High").alias("effort"))
 
 

@@ -195,6 +195,34 @@ def lineage_records(deps: DataFrame, kinds: DataFrame) -> DataFrame:
     return out.select("script", "tbl", F.to_json(record).alias("record"))
 
 
+def namespace(locator: Column, kind: Column) -> Column:
+    """Where a source is, by its locator and kind: the scheme of a locator that has one, a database, or files of that kind."""
+    # The formats of namespaces.
+    scheme = F.substring_index(locator, "://", 1)
+    return F.when(F.contains(locator, F.lit("://")), F.concat(F.lit("qvd://"), scheme)).when(kind == "sql", "db://source").otherwise(F.concat(F.lit("file://"), F.coalesce(kind, F.lit(""))))
+
+
+def lineage_events(deps: DataFrame, kinds: DataFrame, sources: DataFrame, target: str, producer: str, run_id: str, event_time: str) -> DataFrame:
+    """Per table one JSON event of a finished run: run id, time, job, inputs and the output with the lineage of its columns.
+
+    sources: script, source, locator, kind of external sources; an input that is one of them has the namespace of its kind, others have that of the target. deps, kinds:
+    see lineage_records; a table without columns has no event. run_id and event_time are given, so that a job's events agree and reruns repeat.
+    """
+    of = sources.select("script", F.lower("source").alias("_s"), namespace(F.col("locator"), F.col("kind")).alias("_ns")).groupBy("script", "_s").agg(F.min("_ns").alias("_ns"))
+    rows = deps.join(kinds.select(*_KEY, "kind"), _KEY).withColumn("_s", F.lower("upstream")).join(of, ["script", "_s"], "left")
+    place = F.coalesce("_ns", F.lit(target)).alias("namespace")
+    changed = F.when(F.col("kind") == "direct", "DIRECT").otherwise("INDIRECT")
+    field = F.struct(place, F.col("upstream").alias("name"), F.col("up_col").alias("field"), F.array(F.struct(changed.alias("type"), F.col("kind").alias("subtype"))).alias("transformations"))
+    cols = rows.groupBy(*_KEY).agg(F.sort_array(F.collect_set(field)).alias("inputFields"))
+    fields = cols.groupBy("script", "tbl").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("col", F.struct("inputFields"))))).alias("fields"))
+    inputs = rows.groupBy("script", "tbl").agg(F.sort_array(F.collect_set(F.struct(place, F.col("upstream").alias("name")))).alias("inputs"))
+    made = lambda **parts: F.struct(*[(c if isinstance(c, Column) else F.lit(c)).alias(n) for n, c in parts.items()])
+    job = made(namespace=F.col("script"), name=F.col("tbl"), facets=made(jobType=made(processingType="BATCH", jobType="TASK")))
+    output = made(namespace=target, name=F.col("tbl"), facets=made(columnLineage=made(fields=F.col("fields"))))
+    event = made(eventType="COMPLETE", eventTime=event_time, producer=producer, run=made(runId=run_id), job=job, inputs=F.col("inputs"), outputs=F.array(output))
+    return fields.join(inputs, ["script", "tbl"]).select("script", "tbl", F.to_json(event).alias("event"))
+
+
 def join_dependencies(joins: DataFrame) -> DataFrame:
     """Script, from_tbl, to_tbl, type."""
     return joins.select("script", F.col("right_tbl").alias("from_tbl"), F.col("base_tbl").alias("to_tbl"), F.col("join_kind").alias("type"))

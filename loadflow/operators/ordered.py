@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loadflow.sources.publish import claimed, current, publish, published
 from loadflow.sources.shared import spread, written
 
 
@@ -58,6 +59,25 @@ def autonumber(df: DataFrame, field: Column, out: str, order_by: Column) -> Data
     return df.withColumn("_key", field).join(numbers, F.col("_key") == F.col("_value"), "left").drop("_key", "_value").withColumnRenamed("_number", out)
 
 
+def autonumber_stored(df: DataFrame, field: Column, out: str, order_by: Column, path: str) -> DataFrame:
+    """W4 (own choice): autonumber with numbers that stay from load to load: a dictionary of values, published at path, which each load extends.
+
+    Values that the dictionary has keep their numbers; new ones get the next, in order of first appearance. Of loads that extend it
+    at once one wins, and the others raise an error before they change anything, and can be run again.
+    """
+    spark = df.sparkSession
+    known = published(spark, path) if current(spark, path) else None
+    seen = _first_seen(df, field, order_by)
+    fresh = seen if known is None else seen.join(known, "_value", "left_anti")
+    most = 0 if known is None else known.agg(F.coalesce(F.max("_number"), F.lit(0))).first()[0]
+    numbers = row_numbers(fresh, "_number", ["_order", "_value"]).select("_value", (F.col("_number") + most).alias("_number"))
+    if known is None or not numbers.isEmpty():
+        with claimed(spark, path):
+            publish(numbers if known is None else known.unionByName(numbers), path)
+    numbers = published(spark, path)
+    return df.withColumn("_key", field).join(numbers, F.col("_key") == F.col("_value"), "left").drop("_key", "_value").withColumnRenamed("_number", out)
+
+
 def field_value(df: DataFrame, field: Column, n: int, order_by: Column) -> DataFrame:
     """W3 (own choice): one row `value`: the n-th distinct value by first appearance (n from 1); no row beyond the last."""
     ranked = row_numbers(_first_seen(df, field, order_by), "_number", ["_order", "_value"])

@@ -189,6 +189,25 @@ def m11_lineage_records(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.lineage_records(deps, kinds)
 
 
+@query(f"""WITH d AS (SELECT DISTINCT *, CASE WHEN upstream LIKE '%BUILDING' THEN 'qvd://lib' WHEN upstream LIKE '%MACHINERY' THEN 'db://source' WHEN upstream LIKE '%AUTOMOBILE' THEN 'file://file' ELSE 'lake://mart' END AS ns FROM {_DEPS})
+  SELECT script, tbl, upstream, max(ns) AS namespace, count(DISTINCT col) AS n_columns, 'run-1' AS run_id, 'COMPLETE' AS event_type FROM d GROUP BY ALL""")
+def m11_lineage_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of a run, read back: each input with its place and the columns that come from it."""
+    deps = _customer_deps(spark, sf)
+    kinds = deps.select("script", "tbl", "col").distinct().withColumn("kind", F.when(F.col("col") < "c5", "direct").otherwise("derived"))
+    up, ends = F.col("upstream"), lambda s: F.col("upstream").endswith(s)
+    kind = F.when(ends("BUILDING"), "qvd").when(ends("MACHINERY"), "sql").when(ends("AUTOMOBILE"), "file")
+    sources = deps.select("script", up.alias("source"), F.when(ends("BUILDING"), "lib://data/x.qvd").otherwise("x").alias("locator"), kind.alias("kind")).where("kind is not null").distinct()
+    events = lineage.lineage_events(deps, kinds, sources, "lake://mart", "loadflow", "run-1", "2026-01-01T00:00:00Z")
+    shape = "eventType string, run struct<runId: string>, outputs array<struct<facets: struct<columnLineage: struct<fields: map<string, struct<inputFields: array<struct<namespace: string, name: string, field: string>>>>>>>>"
+    e = events.select("script", "tbl", F.from_json("event", shape).alias("e"))
+    fields = e.select("script", "tbl", "e.eventType", "e.run.runId", F.explode(F.col("e.outputs")[0]["facets"]["columnLineage"]["fields"]).alias("col", "f"))
+    each = fields.select("script", "tbl", "eventType", "runId", "col", F.explode("f.inputFields").alias("i"))
+    return each.groupBy("script", "tbl", F.col("i.name").alias("upstream"), F.col("runId").alias("run_id"), F.col("eventType").alias("event_type")).agg(
+        F.max("i.namespace").alias("namespace"), F.count_distinct("col").alias("n_columns")
+    )
+
+
 @query(f"SELECT script, right_tbl AS from_tbl, base_tbl AS to_tbl, 'left' AS type FROM {_JOINS}")
 def m12_join_dependencies(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.join_dependencies(_joins(spark, sf))

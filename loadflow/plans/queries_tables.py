@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadflow.operators import aggregates as A
-from loadflow.operators import mapping, ordered, tables
+from loadflow.operators import mapping, ordered, sketches, tables
 from loadflow.plans.common import query, table
 from loadflow.sources import landing, publish, readers, shared, sinks
-from loadflow.sources.shared import shared_dir
+from loadflow.sources.shared import shared_dir, written
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -431,6 +431,21 @@ def a7_a12_in_groups(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_regionkey").agg(F.round(A.Median(balance), 4).alias("med"), F.round(A.Fractile(balance, 0.25), 4).alias("q25"), A.FieldValueCount(F.col("c_mktsegment")).alias("segments"))
 
 
+@query("SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS low, true AS median_close, true AS q90_close, true AS parts_close FROM lineitem GROUP BY 1")
+def a7_a12_a14_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """States of each month's lines, merged; and whether what they say is as close to the exact ranks and counts as it should be."""
+    li, by = table(spark, sf, "lineitem"), "l_returnflag"
+    states = sketches.sketched(li.withColumn("month", F.trunc("l_shipdate", "month")), [by, "month"], F.col("l_extendedprice"), F.col("l_partkey"))
+    said = sketches.read_off(sketches.merged(written(states), [by]), {"low": 0.0, "med": 0.5, "q90": 0.9}, "parts").withColumnRenamed("n", "said_n")
+    below = lambda c: F.count_if(F.col("l_extendedprice") <= F.col(c)) / F.count(F.lit(1))
+    exact = li.join(said, by).groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.max("low").alias("low"), below("med").alias("at_med"), below("q90").alias("at_q90"), F.count_distinct("l_partkey").alias("exact_parts"), F.max("parts").alias("parts"), F.max("said_n").alias("said_n")
+    )
+    close = lambda c, p: F.abs(F.col(c) - p) <= sketches.RANK_ERROR
+    parts = F.abs(F.col("parts") - F.col("exact_parts")) <= F.greatest(sketches.DISTINCT_ERROR * F.col("exact_parts"), F.lit(1.0))
+    return exact.where("n = said_n").select(by, "n", "low", close("at_med", 0.5).alias("median_close"), close("at_q90", 0.9).alias("q90_close"), parts.alias("parts_close"))
+
+
 @query("SELECT c_nationkey, c_mktsegment AS mode_segment FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) = 1")
 def a9_mode(spark: SparkSession, sf: str) -> DataFrame:
     return A.modes(table(spark, sf, "customer"), ["c_nationkey"], F.col("c_mktsegment"), "mode_segment")
@@ -472,6 +487,15 @@ def w4_autonumber(spark: SparkSession, sf: str) -> DataFrame:
     return ordered.autonumber(table(spark, sf, "orders"), F.col("o_custkey"), "no", F.col("o_orderkey")).select("o_orderkey", "no")
 
 
+@query("""WITH f AS (SELECT o_custkey, min(o_orderkey) FILTER (o_orderdate < '1997-01-01') AS a, min(o_orderkey) AS b FROM orders GROUP BY 1),
+  n AS (SELECT o_custkey, row_number() OVER (ORDER BY a IS NULL, CASE WHEN a IS NULL THEN b ELSE a END) AS no FROM f) SELECT o_orderkey, no FROM orders JOIN n USING (o_custkey)""")
+def w4_autonumber_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers numbered over two loads: the second keeps the numbers of the first."""
+    o, path = table(spark, sf, "orders"), _scratch(spark)
+    ordered.autonumber_stored(o.where("o_orderdate < '1997-01-01'"), F.col("o_custkey"), "no", F.col("o_orderkey"), path)
+    return ordered.autonumber_stored(o, F.col("o_custkey"), "no", F.col("o_orderkey"), path).select("o_orderkey", "no")
+
+
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rowno, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS in_customer FROM orders")
 def w5_row_numbers(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")

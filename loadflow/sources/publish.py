@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
@@ -168,3 +170,24 @@ def published(spark: SparkSession, path: str) -> DataFrame:
     if version is None:
         raise FileNotFoundError(f"nothing is published at {path}")
     return spark.read.parquet(version)
+
+
+@contextmanager
+def claimed(spark: SparkSession, path: str) -> Iterator[None]:
+    """The right to publish the next version: for jobs whose new rows follow from the version that they have read.
+
+    A file that only one job can create names the version that was read; who finds it there, or another version published meanwhile, gets a
+    RuntimeError. A killed job's file counts for a day.
+    """
+    folder, before = Folder(spark, path), current(spark, path)
+    name = f"_CLAIM.{(before or '').rpartition('/')[2] or 'first'}"
+    if folder.exists(name) and folder.fs.getFileStatus(folder.at(name)).getModificationTime() < (time.time() - 3600 * STALE_HOURS) * 1000:
+        folder.delete(name)
+    if not folder.fs.createNewFile(folder.at(name)):
+        raise RuntimeError(f"another job extends {path}")
+    try:
+        if current(spark, path) != before:
+            raise RuntimeError(f"another job has extended {path}")
+        yield
+    finally:
+        folder.delete(name)
