@@ -33,6 +33,8 @@ BLOCKS = SPACED | set("""html body div section article header footer nav main as
     legend hgroup menu dir search center tr select optgroup option""".split())
 KEPT = {"pre", "listing", "xmp", "textarea"}
 LISTS = {"ul", "ol", "menu", "dir"}
+#: Controls in a line, which stand apart from what is beside them.
+CONTROLS = {"button", "textarea"}
 #: Fields that draw their value otherwise than as text.
 NO_TEXT = set("hidden password checkbox radio file image range color".split())
 #: Lines are indented by so many columns at most, and tables deeper than so many have their cells in the line, so that a page's text is bounded by its size.
@@ -77,10 +79,10 @@ class Lines:
     def text(self, s: str, kept: bool) -> None:
         if kept:
             first, *rest = s.split("\n")
-            self.now.append(first)
+            self.now += [first] * (first != "")
             for line in rest:
                 self.end(True)
-                self.now.append(line)
+                self.now += [line] * (line != "")
             return
         s = _SPACES.sub(" ", s)
         if not self.now or self.now[-1].endswith(" "):
@@ -156,11 +158,17 @@ class Table:
         rows = self.placed()
         starts = sorted({at for row in rows for _, at, _ in row})
         rows = [[(cell, bisect_left(starts, at), bisect_left(starts, end)) for cell, at, end in row] for row in rows]
-        width = [0] * len(starts)
+        need: dict[tuple[int, int], int] = {}  # of the widest cell from a column to another
         for row in rows:
             for cell, at, end in row:
-                if end - at == 1:
-                    width[at] = max(width[at], *map(columns, cell or [""]))
+                need[at, end] = max(need.get((at, end), 0), *map(columns, cell or [""]))
+        width = [0] * len(starts)
+        for (at, end), n in sorted(need.items(), key=lambda x: (x[0][1] - x[0][0], x[0])):
+            # Narrow cells first; what a wider one needs beyond its columns is dealt over them, the first ones getting the rest.
+            span = end - at
+            more = n - sum(width[at:end]) - 2 * (span - 1)
+            for i in range(at, end if more > 0 else at):
+                width[i] += more // span + (i - at < more % span)
         edges = list(accumulate((w + 2 for w in width), initial=0))
         if edges[-1] * sum(max([1, *(len(cell) for cell, _, _ in row)]) for row in rows) > 100_000 + 64 * size:
             return self.plain()
@@ -260,7 +268,9 @@ class Layout:
         elif tag == "hr":
             here.block(True)
         elif tag == "input" and own.get("type", "").lower() not in NO_TEXT:
+            here.text(" ", False)
             self.text(own.get("value") or own.get("placeholder", ""))
+            here.text(" ", False)
         if tag in ("optgroup", "option") and own.get("label"):
             self.text(own["label"])
             here.block(False)
@@ -280,7 +290,7 @@ class Layout:
             yield [x for x in node.kids if isinstance(x, Node)][:1]
         elif tag == "option" and own.get("label"):
             yield []  # its label stands for its text
-        elif tag == "svg:text" or (tag == "svg:tspan" and not own.keys().isdisjoint(("x", "y", "dy"))):
+        elif tag in CONTROLS or tag == "svg:text" or (tag == "svg:tspan" and not own.keys().isdisjoint(("x", "y", "dy"))):
             here.text(" ", False)
             yield node.kids
             here.text(" ", False)

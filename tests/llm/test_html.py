@@ -1,5 +1,6 @@
 """Rendering of pages."""
 
+import random
 import re
 import time
 from html.parser import HTMLParser
@@ -68,7 +69,7 @@ def test_pages(spark, sf_dir):
         ("Name: <input value=Bob> <input type=hidden value=no><input type=checkbox value=no><input placeholder='your town'>", "Name: Bob your town"), ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
         ("<table><tr><td>漢字<td>x<tr><td>ab<td>y</table>", "漢字  x\nab    y"), ("<b hidden><p>no</b>yes</p>z", "yes\n\nz"), ("<b>a<p>b</b>c</p>d", "a\n\nbc\n\nd"), ("<a href=x>a<div>b<a href=y>c</a></div>", "a\nbc"),
         ("<template><p>no</p></template>y", "y"), ("<!-- a > b -->x<!-->y<!- z>w", "xyw"), ("a<![CDATA[no]]>b<svg><text><![CDATA[<c>]]></text></svg>", "ab <c>"), ("<p>a</p", "a"), ("x<div title='a>b' hidden>no</div>", "x"),
-        ("<ul><li><p>a</p><p>b</p></li><li>c</ul>", "- a\n\n  b\n- c"), ("<plaintext>a<b>", "a<b>"), ("<svg><g><p>out</svg>", "out"), ("<noscript>no</noscript><iframe>no</iframe>x", "x"), ("<button>a<button>b", "ab"), ("<table><caption>Cap<tr><td>1</table>", "Cap\n1"),
+        ("<ul><li><p>a</p><p>b</p></li><li>c</ul>", "- a\n\n  b\n- c"), ("<plaintext>a<b>", "a<b>"), ("<svg><g><p>out</svg>", "out"), ("<noscript>no</noscript><iframe>no</iframe>x", "x"), ("<button>a<button>b", "a b"), ("<button>click</button><input value=v><textarea>abc", "click v abc"), ("<table><caption>Cap<tr><td>1</table>", "Cap\n1"),
     ],
 )
 def test_trees_and_visibility(html, text):
@@ -148,6 +149,52 @@ def test_pages_against_another_renderer(spark, sf_dir):
     assert len(pages) > 250
 
 
+def test_wide_spanning_cells_keep_columns_aligned():
+    assert render("<table><tr><td colspan=2>a very long heading cell<td>X<tr><td>1<td>2<td>Y</table>") == "a very long heading cell  X\n1            2            Y"
+    assert render("<table><tr><td>n<td colspan=3>1234567890<td>Z<tr><td>a<td>b<td>c<td>d<td>e</table>") == "n  1234567890  Z\na  b   c   d   e"
+
+
+def grid(rows):
+    """Where the standard's table model puts each cell: a matrix of places taken."""
+    taken, out = set(), []
+    for y, row in enumerate(rows):
+        x = 0
+        for word, across, down in row:
+            while (x, y) in taken:
+                x += 1
+            taken |= {(x + i, y + j) for i in range(across) for j in range(down)}
+            out.append((word, x, x + across, y))
+            x += across
+    return out
+
+
+def test_random_tables_against_a_grid():
+    """Cells that begin in one column of the grid stand in one column of the text, in order, and no cell reaches into the next."""
+    rnd = random.Random(5)
+    for _ in range(400):
+        n = 0
+        rows = []
+        for _ in range(rnd.randint(1, 6)):
+            row = []
+            for _ in range(rnd.randint(1, 5)):
+                n += 1
+                row.append((f"c{n}" + "x" * rnd.choice([0, 0, 3, 12]), rnd.choice([1, 1, 1, 2, 3]), rnd.choice([1, 1, 1, 2, 3])))
+            rows.append(row)
+        html = "<table>" + "".join("<tr>" + "".join(f"<td colspan={a} rowspan={d}>{w}" for w, a, d in row) for row in rows) + "</table>"
+        lines = render(html).split("\n")
+        assert len(lines) == len(rows)
+        cells = grid([[(w, a, min(d, len(rows) - y)) for w, a, d in row] for y, row in enumerate(rows)])
+        at = {}
+        if len({(x, y) for _, a, b, y in cells for x in range(a, b)}) < sum(b - a for _, a, b, _ in cells):
+            continue  # cells of this table overlap, which the standard leaves open
+        for word, x, _, y in cells:
+            assert re.search(rf"(^| ){word}( |$)", lines[y])
+            at.setdefault(x, set()).add(re.search(rf"(^| ){word}( |$)", lines[y]).start() + (0 if lines[y].startswith(word) and lines[y].index(word) == 0 else 1))
+        assert all(len(v) == 1 for v in at.values()), (html, lines)
+        order = [min(at[x]) for x in sorted(at)]
+        assert order == sorted(set(order))
+
+
 def test_extract_of_nulls_repeats_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "<p>x", "c"), (3, "<p>x", "c"), (None, "y", "d")], "page_id long, html string, text string")
     assert sorted(map(str, html_layout.extract(df).collect())) == sorted(map(str, [*(html_layout.extract(df.drop("text")).collect())]))
