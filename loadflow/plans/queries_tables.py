@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loadflow.operators import aggregates as A
 from loadflow.operators import mapping, ordered, sketches, tables
 from loadflow.plans.common import query, table
-from loadflow.sources import landing, publish, readers, shared, sinks
+from loadflow.sources import landing, manifest, publish, readers, shared, sinks
 from loadflow.sources.shared import shared_dir, written
 
 
@@ -75,6 +75,20 @@ def s7_s8_load_each_file(spark: SparkSession, sf: str) -> DataFrame:
     return totals(df).intersect(totals(named))
 
 
+@query("""SELECT CASE WHEN year(o_orderdate) < 1997 THEN 1 ELSE 2 END AS load, count(*) AS n, count(*) FILTER (year(o_orderdate) >= 1997) AS with_priority, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+  FROM orders GROUP BY 1""")
+def s7_load_added(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of early years are loaded; then those of later years come, with a column more and keys as text, and only these are loaded."""
+    o, folder, path = table(spark, sf, "orders"), _scratch(spark), _scratch(spark)
+    o.where("year(o_orderdate) < 1997").select("o_orderkey", "o_totalprice").write.parquet(f"{folder}/early")
+    first = manifest.load_added(spark, folder, path)
+    first.done()
+    o.where("year(o_orderdate) >= 1997").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_totalprice", "o_orderpriority").write.parquet(f"{folder}/late")
+    second = manifest.load_added(spark, folder, path)
+    both = first.rows.withColumn("load", F.lit(1)).withColumn("o_orderpriority", F.lit(None).cast("string")).unionByName(second.rows.withColumn("load", F.lit(2)).withColumn("o_orderkey", F.col("o_orderkey").cast("long")))
+    return both.groupBy("load").agg(F.count("o_orderkey").alias("n"), F.count("o_orderpriority").alias("with_priority"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
 def s9_append_new(spark: SparkSession, sf: str) -> DataFrame:
     """Orders up to a day are history; the fresh load holds the later half again and the rest."""
