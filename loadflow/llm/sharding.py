@@ -63,27 +63,38 @@ def ordered(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("binary" if dict(df.dtypes)[name] == "string" else "double")
 
 
-def cells_of(rows: DataFrame, d: str, total: int, bits: int) -> Column:
-    """The cell of column d: where the middle of its value's rows stands in the order of all rows. Nulls are in cell 0.
+def cells_of(rows: DataFrame, dims: list[str], total: int, bits: int) -> list[Column]:
+    """The cell of each column in dims: where the middle of its value's rows stands in the order of all rows. Nulls are in cell 0.
 
-    Distinct values are counted and dealt by ranges; prefix sums over the ranges and inside give their places. Only the
-    least value of each cell is collected, as the cells of all other values follow from it.
+    The values of all columns are counted together and dealt by ranges of (column, value), in one shuffle of their distinct values; prefix sums over the ranges and
+    inside give their places, as every column has a value in each row. Only the least value of each cell is collected, as the cells of all
+    other values follow from it.
     """
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
-    values = rows.groupBy(d).agg(F.count(F.lit(1)).alias("n"))
-    values = written(values.repartitionByRange(parts, d).withColumn("part", F.spark_partition_id()))
+    kinds = dict(rows.dtypes)
+    typed = lambda d, kind: (F.col(d) if kinds[d] == kind else F.lit(None).cast(kind)).alias(kind)
+    value = ["binary", "double"]
+    stacked = F.array(*[F.struct(F.lit(i).alias("dim"), *[typed(d, kind) for kind in value]) for i, d in enumerate(dims)])
+    counts = rows.select(F.inline(stacked)).groupBy("dim", *value).agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts.repartitionByRange(parts, "dim", *value).withColumn("part", F.spark_partition_id()))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    first = values.groupBy("part").agg(F.sum("n").alias("n"))
+    first = counts.groupBy("part").agg(F.sum("n").alias("n"))
     first = first.select("part", F.coalesce(F.sum("n").over(before(Window.orderBy("part"))), F.lit(0)).alias("n0"))
-    at = F.coalesce(F.sum("n").over(before(Window.partitionBy("part").orderBy(d))), F.lit(0))
-    placed = values.withColumn("at", at).join(F.broadcast(first), "part")  # one row a partition of the shuffle
-    cell = F.floor((2 * (F.col("n0") + F.col("at")) + F.col("n")).cast("double") / (2 * max(total, 1)) * (1 << bits)).cast("int")
-    least = placed.where(F.col(d).isNotNull()).groupBy(cell.alias("cell")).agg(F.min(d).alias("least")).collect()
-    if not least:
-        return F.lit(0)
-    least = sorted((r["cell"], r["least"]) for r in least)
-    passed = F.size(F.filter(F.array(*[F.lit(v) for _, v in least]), lambda v: v <= F.col(d)))
-    return F.coalesce(F.get(F.array(*[F.lit(c) for c, _ in least]), passed - 1), F.lit(0))
+    at = F.coalesce(F.sum("n").over(before(Window.partitionBy("part").orderBy("dim", *value))), F.lit(0))
+    placed = counts.withColumn("at", at).join(F.broadcast(first), "part")  # one row a partition of the shuffle
+    place = F.col("n0") + F.col("at") - F.col("dim") * F.lit(total)
+    cell = F.floor((2 * place + F.col("n")).cast("double") / (2 * max(total, 1)) * (1 << bits)).cast("int")
+    known = placed.where("binary is not null or double is not null")
+    found = known.groupBy("dim", cell.alias("cell")).agg(F.min(F.struct(*value)).alias("least")).collect()  # a row for each column and cell
+
+    def cell_of(i: int, d: str) -> Column:
+        least = sorted((r["cell"], r["least"][kinds[d]]) for r in found if r["dim"] == i)
+        if not least:
+            return F.lit(0)
+        passed = F.size(F.filter(F.array(*[F.lit(v) for _, v in least]), lambda v: v <= F.col(d)))
+        return F.coalesce(F.get(F.array(*[F.lit(c) for c, _ in least]), passed - 1), F.lit(0))
+
+    return [cell_of(i, d) for i, d in enumerate(dims)]
 
 
 def shard(docs: DataFrame, n_shards: int = 8, law: str = "rows", dimensions: tuple[str, ...] = ("source", "lang", "doc_id"), bits: int = 4, keep: list[str] | None = None) -> DataFrame:
@@ -107,7 +118,7 @@ def shard(docs: DataFrame, n_shards: int = 8, law: str = "rows", dimensions: tup
     ends = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     n, total = ends["n"], ends["bytes"]
 
-    rows = rows.withColumn("cell", curve_index([cells_of(rows, d, n, bits) for d in dims], bits))
+    rows = rows.withColumn("cell", curve_index(cells_of(rows, dims, n, bits), bits))
     # First places: over the cells, over the fine cells of a cell, over the rows of a fine cell.
     past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     cells = written(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"), F.floor(F.count(F.lit(1)) / IN_FINE).alias("parts")))
