@@ -9,11 +9,13 @@ the histogram. Then documents take their places: those of one length are numbere
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -100,18 +102,29 @@ class Ids(WordBpe):
         return [own(steps[0]) if len(steps) == 1 else np.concatenate([own(x) for x in steps]) for steps in plan]
 
 
+def encoder(path: str) -> Ids:
+    """The encoder of this Python worker, which serves many tasks: what it has learned of a vocabulary and of words stays from task to task.
+
+    This package travels with the plan and is new to each task, so the encoder is kept under a name of its own. Its memos are bounded.
+    """
+    held = sys.modules.setdefault("_loadflow_encoders", ModuleType("_loadflow_encoders")).__dict__
+    if path not in held:
+        held[path] = Ids(path)
+    return held[path]
+
+
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of the pieces of each row of docs(doc_id, text), with part and k: the piece is the
     k-th of its length in its task. To be written before part and k are used."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Ids(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        ids_of, part, seen = encoder(path).batch, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             doc_ids, at = b.column(0), 0
             for texts in portions([t or "" for t in b.column(1).to_pylist()]):
                 rows, tokens = [], []
-                for i, ids in enumerate(encoder.batch(texts), at):
+                for i, ids in enumerate(ids_of(texts), at):
                     ids = np.append(ids, np.int32(end)).astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]
