@@ -75,12 +75,20 @@ def floats(v: np.ndarray) -> np.ndarray:
     return v.astype(np.float64)
 
 
-def exact_scores(x: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Inner products of integers, exactly: in doubles where these hold all sums, else in Python's integers."""
-    if x.dtype != object and a.dtype != object:
-        if float(np.abs(x).max(initial=0)) * float(np.abs(a).max(initial=0)) * max(1, len(a)) < 1 << 53:
-            return (x.astype(np.float64) @ a.astype(np.float64)).astype(np.int64)
-    return x.astype(object) @ a.astype(object)
+class Rows:
+    """Vectors of one cell with their ids: as integers, and as doubles for scores that these hold exactly."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, ...]]):
+        self.ids, self.rids, self.labels = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        self.v = np.concatenate([p[3] for p in parts])
+        self.peak = float(np.abs(self.v).max(initial=0)) if self.v.dtype != object else float("inf")
+        self.f = floats(self.v) if self.peak < 1 << 53 else None
+
+    def scores(self, a: np.ndarray) -> np.ndarray:
+        """Inner products with a vector of integers, exactly: in doubles where these hold all sums, else in Python's integers."""
+        if self.f is not None and a.dtype != object and self.peak * float(np.abs(a).max(initial=0)) * max(1, len(a)) < 1 << 53:
+            return (self.f @ a.astype(np.float64)).astype(np.int64)
+        return self.v.astype(object) @ a.astype(object)
 
 
 def to_bytes(v: np.ndarray) -> tuple[bytes, bool]:
@@ -143,15 +151,19 @@ class Want:
 class Shard:
     """Some blocks of vectors of one length, by cell."""
 
+    #: Cells are visited in their order, but scored together, some rows at a time.
+    PORTION = 1024
+
     def __init__(self, blocks: pd.DataFrame, codebooks: Codebooks):
         self.codebooks = codebooks
-        self.cells: dict[tuple[int, int], list] = {}
+        parts: dict[tuple[int, int], list] = {}
         radius: list[dict[int, float]] = [{}, {}]
         for b in blocks.itertuples():
             ids, rids, labels = (np.frombuffer(x, "<i8") for x in (b.ids, b.rids, b.labels))
-            self.cells.setdefault((b.a, b.b), []).append((ids, rids, labels, from_bytes(b.v, b.wide).reshape(len(ids), -1)))
+            parts.setdefault((b.a, b.b), []).append((ids, rids, labels, from_bytes(b.v, b.wide).reshape(len(ids), -1)))
             for side, (code, r) in enumerate(((b.a, b.ra), (b.b, b.rb))):
                 radius[side][code] = max(r, radius[side].get(code, 0.0))
+        self.cells = {cell: Rows(own) for cell, own in parts.items()}
         self.codes = [np.array(sorted(r)) for r in radius]
         self.radii = [np.array([r[c] for c in sorted(r)]) for r in radius]
 
@@ -159,23 +171,37 @@ class Shard:
         bounds = Bounds(self.codebooks, anchor)
         half = [bounds.half(s, self.codes[s], self.radii[s]) for s in (0, 1)]
         order = [np.argsort(-h, kind="stable") for h in half]
-        heap, seen = [(-(half[0][order[0][0]] + half[1][order[1][0]]), 0, 0)], {(0, 0)}
+        half = [h[o].tolist() for h, o in zip(half, order, strict=True)]
+        codes = [c[o].tolist() for c, o in zip(self.codes, order, strict=True)]
+        heap, seen, held, n = [(-(half[0][0] + half[1][0]), 0, 0)], {(0, 0)}, [], 0
+
+        def score() -> None:
+            score = np.concatenate([r.scores(anchor) for r in held])
+            ids, rids, labels = (np.concatenate([getattr(r, name) for r in held]) for name in ("ids", "rids", "labels"))
+            same, other = labels == label, rids != rid
+            for side in {w.same for w in wants}:
+                own = np.flatnonzero((same if side else ~same) & other)
+                picked = score[own], ids[own], rids[own]
+                for w in wants:
+                    if w.same == side:
+                        w.add(*picked, k)
+
         while heap:
-            bound, i, j = heappop(heap)
-            floors = [w.floor(k) for w in wants]
-            if all(f is not None and -bound < f for f in floors):
-                return  # every window is certified
+            if not held:
+                floors = [w.floor(k) for w in wants]
+                if all(f is not None and -heap[0][0] < f for f in floors):
+                    return  # every window is certified
+            _, i, j = heappop(heap)
             for x, y in ((i + 1, j), (i, j + 1)):
-                if x < len(order[0]) and y < len(order[1]) and (x, y) not in seen:
+                if x < len(half[0]) and y < len(half[1]) and (x, y) not in seen:
                     seen.add((x, y))
-                    heappush(heap, (-(half[0][order[0][x]] + half[1][order[1][y]]), x, y))
-            cell = int(self.codes[0][order[0][i]]), int(self.codes[1][order[1][j]])
-            for ids, rids, labels, v in self.cells.get(cell, ()):
-                score, same = exact_scores(v, anchor), labels == label
-                other = rids != rid
-                for w in wants:
-                    own = (same if w.same else ~same) & other
-                    w.add(score[own], ids[own], rids[own], k)
+                    heappush(heap, (-(half[0][x] + half[1][y]), x, y))
+            if (rows := self.cells.get((codes[0][i], codes[1][j]))) is not None:
+                held.append(rows)
+                n += len(rows.ids)
+            if held and (n >= self.PORTION or not heap):
+                score()
+                held, n = [], 0
 
 
 def blocks_of(base: DataFrame, codebooks: Codebooks, rows: int, held: int) -> DataFrame:
@@ -277,7 +303,10 @@ class Index:
                 kept = [c for c in batch.schema.names if c != "cells"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.float64())], names=[*kept, "bound"])
 
-        pairs = anchors.join(self.cells, "dim")
+        # Most vectors have one length, so anchors are dealt over tasks, each of which gets the cells of that length.
+        parts = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = self.cells.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = anchors.withColumn("_p", F.pmod(F.xxhash64("rid"), F.lit(parts)).cast("int")).join(every, ["dim", "_p"]).drop("_p")
         schema = ", ".join([*(f"{n} {t}" for n, t in pairs.dtypes if n != "cells"), "bound double"])
         return pairs.mapInArrow(run, schema)
 
