@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadflow.operators.tables import quoted
 from loadflow.sources.publish import current, publish
 from loadflow.sources.shared import written
 
-#: What a question's terms are, and the runs of characters that texts are indexed by: a term never goes beyond a run.
-TERM, RUN = r"[A-Za-z_]\w+", r"(?U)[\w]+"
+#: What a question's terms are, and the runs of characters that texts are indexed by: a term never goes beyond a run. The ranges are part of \w and only quicker.
+TERM, RUN = r"[A-Za-z_]\w+", r"(?U)[0-9a-z_\w]+"
 
 
 def terms(question: str) -> list[str]:
@@ -24,17 +25,19 @@ def build_index(df: DataFrame, text: str, key: str, path: str, buckets: int = 64
     """M8: an inverted index of df's texts, published at path.
 
     words(word, bucket, n_rows): the vocabulary. postings(bucket, word, key, n): how often a word stands in a row's text, a folder for each
-    bucket of words, sorted by word inside. keys(key): all rows, for questions that find none. Words are the runs of letters, digits and
+    bucket of words, sorted by word inside of each file. keys(key): all rows, for questions that find none. Words are the runs of letters, digits and
     _ of the lower-cased text. One row a key is expected; rows of one key are added up. Null texts have no words.
+
+    Texts are shuffled by their keys, which is less than their words would be; words are then counted, sorted and written where the texts are, so
+    that each task leaves a file of its rows in each bucket.
     """
-    low = F.lower(F.coalesce(quoted(text), F.lit("")))
-    rows = df.select(quoted(key).alias("key"), F.explode(F.regexp_extract_all(low, F.lit(RUN), F.lit(0))).alias("word"))
-    counts = rows.groupBy("word", "key").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    postings = written(counts.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")))
-    # A frequent word is dealt over several files of its bucket by a hash of the key.
-    dealt = postings.repartitionByRange("bucket", "word", F.xxhash64("key")).sortWithinPartitions("bucket", "word")
-    publish(dealt, f"{path}/postings", ["bucket"])
-    publish(postings.groupBy("word", "bucket").agg(F.count(F.lit(1)).alias("n_rows")).repartitionByRange("word"), f"{path}/words")
+    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    rows = df.select(quoted(key).alias("key"), quoted(text).alias("text")).repartition("key")
+    counts = rows.select("key", F.explode(F.regexp_extract_all(low, F.lit(RUN), F.lit(0))).alias("word")).groupBy("word", "key").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    bucket = F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("bucket")
+    publish(counts.select(bucket, "word", "key", "n").sortWithinPartitions("bucket", "word"), f"{path}/postings", ["bucket"])
+    vocabulary = _of_index(df.sparkSession, path, "postings").groupBy("word").agg(F.count(F.lit(1)).alias("n_rows"))
+    publish(vocabulary.select("word", bucket, "n_rows"), f"{path}/words")
     publish(df.select(quoted(key).alias("key")).distinct(), f"{path}/keys")
 
 
@@ -45,19 +48,24 @@ def _of_index(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.parquet(version)
 
 
-def matching_words(spark: SparkSession, path: str, question: str) -> DataFrame:
-    """word, bucket, times: the words of the vocabulary that hold a term, and how often they hold terms (places of one term don't overlap)."""
+def _times(question: str) -> Column:
+    """How often a word holds terms (places of one term don't overlap)."""
     times = F.lit(0)
     for t in terms(question):
         times = times + ((F.length("word") - F.length(F.replace(F.col("word"), F.lit(t), F.lit("")))) / len(t)).cast("int")
-    return _of_index(spark, path, "words").withColumn("times", times).where("times > 0")
+    return times
+
+
+def matching_words(spark: SparkSession, path: str, question: str) -> DataFrame:
+    """word, bucket, times: the words of the vocabulary that hold a term, and how often they hold terms."""
+    return _of_index(spark, path, "words").withColumn("times", _times(question)).where("times > 0")
 
 
 def search(spark: SparkSession, path: str, question: str, k: int) -> DataFrame:
     """M8: key and score as `retrieve` gives them, read from the index: the k rows with the greatest score above 0, ties by key; if there is none, the first k keys with 0.
 
     A term may stand inside of words, so the vocabulary is searched first, which is small beside the texts; then only the buckets and words that
-    hold terms are read from the postings.
+    hold terms are read from the postings. How often a word holds terms is told from the word again, so that postings meet no other table.
     """
     found = written(matching_words(spark, path, question))
     near = [r["bucket"] for r in found.select("bucket").distinct().collect()]  # at most the number of buckets
@@ -66,7 +74,9 @@ def search(spark: SparkSession, path: str, question: str, k: int) -> DataFrame:
         hits = _of_index(spark, path, "postings").where(F.col("bucket").isin(near))
         if len(few) <= 1000:  # as literals they also pass over row groups by their least and greatest words
             hits = hits.where(F.col("word").isin([r["word"] for r in few]))
-        scored = hits.join(found.select("word", "times"), "word").groupBy("key").agg(F.sum(F.col("n") * F.col("times")).cast("int").alias("score"))
+        else:
+            hits = hits.where(reduce(Column.__or__, [F.col("word").contains(t) for t in terms(question)]))
+        scored = hits.groupBy("key").agg(F.sum(F.col("n") * _times(question)).cast("int").alias("score"))
         return scored.orderBy(F.desc("score"), "key").limit(k)
     return _of_index(spark, path, "keys").orderBy("key").limit(k).withColumn("score", F.lit(0))
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadflow.operators import inventory, search
+from loadflow.sources.shared import recorded
 
 
 def plan(df):
@@ -39,6 +40,30 @@ def test_only_buckets_of_the_terms_are_read(spark, sf_dir, tmp_path):
     assert search.search(spark, path, "license warranty", 5).collect() == found.collect()
 
 
+def test_index_and_search_shuffle_no_words_of_texts(spark, tmp_path):
+    """The build writes no table on the way; a question that over 1000 words answer joins none; a key's rows are added up, in whatever tasks they are."""
+    texts = [(i % 40, " ".join(f"w{j}the{j % 7}" for j in range(i % 50 * 30, i % 50 * 30 + 60)) + " The other") for i in range(120)] + [(None, "the the"), (None, "the"), (41, "THE " * 500), (42, "none")]
+    df = spark.createDataFrame(texts, "id int, text string").repartition(7)
+    path = f"{tmp_path}/i"
+    with recorded() as paths:
+        search.build_index(df, "text", "id", path, buckets=3)
+    assert paths == []
+    assert search.matching_words(spark, path, "the").count() > 1000
+    found = search.search(spark, path, "the", 50)
+    assert "Join" not in plan(found)
+    want = {}
+    for key, text in texts:
+        want[key] = want.get(key, 0) + text.lower().count("the")
+    ordered = sorted(((k, n) for k, n in want.items() if n), key=lambda x: (-x[1], x[0] is not None, x[0] or 0))
+    assert [tuple(r) for r in found.collect()] == ordered[:50]
+    postings = search._of_index(spark, path, "postings")
+    assert postings.count() == postings.select("word", "key").distinct().count()
+    rows = {r["word"]: r["n"] for r in postings.groupBy("word").agg(F.count("*").alias("n")).collect()}
+    words = search._of_index(spark, path, "words").collect()
+    assert {r["word"]: r["n_rows"] for r in words} == rows and len(words) == len(rows)
+    assert postings.select("word", "bucket").distinct().join(search._of_index(spark, path, "words"), ["word", "bucket"]).count() == len(rows)
+
+
 def test_reconcile_names_one_changed_row(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     row = li.orderBy("l_orderkey", "l_linenumber").first()
