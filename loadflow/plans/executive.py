@@ -77,6 +77,13 @@ def expense_branch(expenses: DataFrame, accounts: DataFrame, account_master: Dat
     return named.groupBy("MonthlyRegionKey", "AccountGroupDesc").agg(money("ExpenseActual"), money("ExpenseBudget"), F.count_distinct("AccountDesc").alias("Accounts"))
 
 
-def whole_star(fact: DataFrame, calendar: DataFrame, customers: DataFrame, addresses: DataFrame, items: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Every fact row with all that its keys lead to. Each branch has one row a key, so that facts aren't multiplied."""
-    return join_all(fact, [(calendar, "left"), (customers, "left"), (addresses, "left"), (items, "left"), (inventory, "left")])
+def whole_star(fact: DataFrame, calendar: DataFrame, customers: DataFrame, addresses: DataFrame, items: DataFrame, inventory: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Every fact row with all that its keys lead to. Each branch has one row a key, so that facts aren't multiplied.
+
+    heads: what facts share, such as orders, with the keys of customers and addresses; facts without a head go. Customers and addresses then meet
+    the heads, which are fewer than the facts, and facts are shuffled for their items and their heads only, with the few columns of their items.
+    """
+    if heads is None:
+        return join_all(fact, [(calendar, "left"), (customers, "left"), (addresses, "left"), (items, "left"), (inventory, "left")])
+    known = join_all(heads, [(customers, "left"), (addresses, "left")])
+    return join_all(fact, [(items, "left"), (calendar, "left"), (inventory, "left"), (known, "inner")])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadflow.operators import ordered, tables
-from loadflow.plans import catalog
+from loadflow.plans import catalog, executive
 from loadflow.sources import readers
 
 CROSS = {"j9_cross", "s11_layers"}  # all pairs are the feature, or a literal of four rows
@@ -57,3 +57,36 @@ def test_distinct_projects_first(spark, sf_dir):
 def test_top_k_needs_no_global_sort(spark, sf_dir):
     text = plan(ordered.top_k(spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_totalprice"), 3, ["o_orderkey"]))
     assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
+
+
+def above(text, *marks):
+    """The operators above the scan that has these marks, from it to the root."""
+    lines = text.split("== Initial Plan ==")[0].splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :|+-"))
+    i = next(i for i, x in enumerate(lines) if "FileScan" in x and all(m in x for m in marks))
+    found, least = [], depth(lines[i])
+    for x in reversed(lines[:i]):
+        if depth(x) < least:
+            found, least = [*found, x], depth(x)
+    return found
+
+
+def test_star_takes_no_facts_to_customers_and_sorts_none_for_sums(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ops = above(plan(catalog.queries()["executive_star"](spark, sf_dir)), "l_orderkey", "l_extendedprice")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [x for x in ops if "Exchange hashpartitioning" in x]
+    assert dealt and not any("custkey" in x or "CustKey#" in x or "Address Number" in x for x in dealt)
+    assert "HashAggregate" in next(x for x in ops if "Aggregate" in x)
+
+
+def test_star_with_heads_is_the_star_of_joined_facts(spark):
+    make = spark.createDataFrame
+    heads = make([(1, 10, 10), (2, 11, 11), (3, None, None), (4, 12, 12)], "Order int, CustKey int, `Address Number` int")
+    lines = make([(1, "a", 1, 5.0), (1, "b", None, None), (2, None, 1, 7.0), (3, "a", 2, 1.0), (9, "a", 1, 2.0), (None, "a", 1, 2.0)], "Order int, `Item-Branch Key` string, m int, Amount double")
+    parts = [make([(1, 2001)], "m int, y int"), make([(10, 0), (12, 2)], "CustKey int, CustKeyAR int"), make([(11, "s")], "`Address Number` int, Segment string"), make([("a", "A")], "`Item-Branch Key` string, item string"), make([(2, 3.0)], "m int, stock double")]
+    joined = executive.whole_star(lines.join(heads, "Order"), *parts)
+    out = executive.whole_star(lines, *parts, heads).select(joined.columns)
+    assert sorted(map(str, out.collect())) == sorted(map(str, joined.collect())) and out.count() == 4
