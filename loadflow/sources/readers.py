@@ -45,8 +45,11 @@ def load_resident(spark: SparkSession, name: str, *fields: str) -> DataFrame:
 
 
 def load_inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small literal table."""
-    return spark.createDataFrame(rows, schema)
+    """A small literal table, which a join broadcasts: Spark can't tell its size, and would deal the other table to a task for each of a few keys.
+
+    A full join, and one that keeps all rows of the literal table, can't broadcast it.
+    """
+    return F.broadcast(spark.createDataFrame(rows, schema))
 
 
 def autogenerate(spark: SparkSession, n: int, out: str = "recno") -> DataFrame:

@@ -90,3 +90,9 @@ def test_star_with_heads_is_the_star_of_joined_facts(spark):
     joined = executive.whole_star(lines.join(heads, "Order"), *parts)
     out = executive.whole_star(lines, *parts, heads).select(joined.columns)
     assert sorted(map(str, out.collect())) == sorted(map(str, joined.collect())) and out.count() == 4
+
+
+def test_rows_stay_where_they_are_read_when_they_meet_a_literal_table(spark, sf_dir):
+    ops = above(plan(catalog.queries()["s5_load_inline"](spark, sf_dir)), "o_orderstatus")
+    join = next(i for i, x in enumerate(ops) if "Join" in x)
+    assert "BroadcastHashJoin" in ops[join] and not any("Exchange" in x or "Sort" in x for x in ops[:join])
