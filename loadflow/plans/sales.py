@@ -36,9 +36,13 @@ def stage_prior(sales: DataFrame) -> DataFrame:
 def sales_fact(country_ref: DataFrame, products: DataFrame, sales: DataFrame, prior: DataFrame) -> DataFrame:
     """ProductID, Country, TherapeuticArea, OrderYear, TotalRevenue, TotalUnits. Prior-year rows have no country, as their load has none.
 
-    One shuffle for the mart, after partial sums; and one for the product join, where products don't fit a broadcast.
+    Rows are dealt by the mart's keys and summed before the product join, so that no task sorts rows for the join beside its sums; what meets the
+    products, by a shuffle where they don't fit a broadcast, is the sums. A product that is listed n times counts n times.
     """
     raw = concatenate(stage_sales(sales, country_ref), stage_prior(prior))
-    enriched = select(raw, "OrderID", "ProductID", "CustomerID", "Country", "OrderDate", "Quantity", "GrossAmount")
-    enriched = natural_join(enriched, select(stage_products(products), "ProductID", "ProductName", "TherapeuticArea"), "left")
-    return enriched.groupBy("ProductID", "Country", "TherapeuticArea", Year(F.col("OrderDate")).alias("OrderYear")).agg(F.sum("GrossAmount").cast("double").alias("TotalRevenue"), F.sum("Quantity").cast("double").alias("TotalUnits"))
+    keys = ["ProductID", "Country", "OrderYear"]
+    dealt = select(raw, "ProductID", "Country", "Quantity", "GrossAmount", OrderYear=Year(F.col("OrderDate"))).repartition(*keys)
+    sums = dealt.groupBy(*keys).agg(F.sum("GrossAmount").alias("_revenue"), F.sum("Quantity").alias("_units"))
+    listed = stage_products(products).groupBy("ProductID", "TherapeuticArea").agg(F.count(F.lit(1)).alias("_n"))
+    times = lambda c: (F.col(c) * F.coalesce("_n", F.lit(1))).cast("double")
+    return select(natural_join(sums, listed, "left"), "ProductID", "Country", "TherapeuticArea", "OrderYear", TotalRevenue=times("_revenue"), TotalUnits=times("_units"))

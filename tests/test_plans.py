@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadflow.operators import ordered, tables
-from loadflow.plans import catalog, executive
+from loadflow.plans import catalog, executive, sales
 from loadflow.sources import readers
 
 CROSS = {"j9_cross", "s11_layers"}  # all pairs are the feature, or a literal of four rows
@@ -96,3 +96,25 @@ def test_rows_stay_where_they_are_read_when_they_meet_a_literal_table(spark, sf_
     ops = above(plan(catalog.queries()["s5_load_inline"](spark, sf_dir)), "o_orderstatus")
     join = next(i for i, x in enumerate(ops) if "Join" in x)
     assert "BroadcastHashJoin" in ops[join] and not any("Exchange" in x or "Sort" in x for x in ops[:join])
+
+
+def test_mart_sums_before_it_meets_products(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ops = above(plan(catalog.queries()["sales_mart"](spark, sf_dir)), "l_orderkey", "l_extendedprice")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert next(i for i, x in enumerate(ops) if "Aggregate" in x) < next(i for i, x in enumerate(ops) if "SortMergeJoin [ProductID#" in x)
+
+
+def test_products_listed_twice_count_twice(spark):
+    make = spark.createDataFrame
+    products = make([(1, "a", "x", "1", 0), (1, "b", "x", "1", 0), (1, "c", "y", "1", 0), (2, "d", None, "1", 1)], "ProductID int, ProductName string, `Therapeutic Area` string, UnitPrice string, Discontinued int")
+    shape = "OrderID string, ProductID int, CustomerID int, CountryCode int, OrderDate string, Quantity string, UnitPrice string, GrossAmount string"
+    now = make([("1", 1, 1, 7, "2001-02-03", "2", "1.5", "9"), ("2", 3, 1, 8, "2001-02-03", "1", "1", "9"), ("", 1, 1, 7, "2001-02-03", "2", "1.5", "9")], shape)
+    before = make([("3", 1, 1, 7, "1999-02-03", "1", "1", "4.25"), ("4", 2, 1, 7, "1999-02-03", None, "1", "x"), ("5", None, 1, 7, "1999-02-03", "1", "1", "1")], shape)
+    out = sales.sales_fact(make([(7, "P")], "CountryCode int, CountryName string"), products, now, before)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([
+        (1, "P", "x", 2001, 6.0, 4.0), (1, "P", "y", 2001, 3.0, 2.0), (3, "Unknown", None, 2001, 1.0, 1.0), (1, None, "x", 1999, 8.5, 2.0), (1, None, "y", 1999, 4.25, 1.0), (2, None, None, 1999, None, None),
+        (None, None, None, 1999, 1.0, 1.0),
+    ], key=str)
